@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") / F.lit(2.0**40))).first())
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     seen = state(now)
     for _ in range(rounds):
