@@ -135,16 +135,40 @@ def _agree(flat: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return np.minimum(out, np.minimum(sizes[a], sizes[b]))
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], counts: list[int], window: int) -> list[tuple[int, int, list[int]]]:
-    """(L, R, leaves) of all maximal repeats of ``window`` bytes or more over one gram's leaves.
-
-    ``rights`` must be in order; ``lefts`` are reversed. A leaf of two or more
-    occurrences is a repeat by itself, with its whole context.
+def _prefix(a: bytes, b: bytes) -> int:
+    """Length of the common prefix of two byte strings."""
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    at = int(differ.argmax()) if n else 0
+    return at if n and differ[at] else n
+
+
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], counts: list[int], window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(L, R, leaves, fresh) of maximal repeats of ``window`` bytes or more over one gram's leaves.
+
+    ``rights`` must be in order; ``lefts`` are reversed. ``fresh`` are the leaves that
+    no repeat given before covers as far on both sides; a repeat without such a
+    leaf lies inside longer ones wherever it occurs and is left out. Intervals come
+    from the deepest, so R only falls as L grows. A leaf of two or more occurrences
+    is a repeat by itself, with its whole context.
     """
-    out = [(len(lefts[i]), len(rights[i]), [i]) for i, n in enumerate(counts) if n > 1 and len(lefts[i]) + len(rights[i]) >= window]
     n = len(rights)
+    reach = np.full(n, -1, np.int64)  # the longest L so far of each leaf
+    for i, c in enumerate(counts):
+        if c > 1:
+            reach[i] = len(lefts[i])
+            if len(lefts[i]) + len(rights[i]) >= window:
+                yield len(lefts[i]), len(rights[i]), np.array([i]), np.array([i])
     if n < 2:
-        return out
+        return
+    if n == 2:
+        depth = _prefix(*rights)
+        left = _prefix(*lefts) if depth + min(map(len, lefts)) >= window else -1
+        if left + depth >= window:
+            fresh = np.flatnonzero(reach < left)
+            if len(fresh):
+                yield left, depth, np.array([0, 1]), fresh
+        return
     flat, sizes = _common(rights, max(map(len, rights)))
     every = np.arange(n)
     lcp = _agree(flat, sizes, every[:-1], every[1:])
@@ -156,58 +180,52 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], counts: list[int],
     for depth, first, last in intervals(lcp.tolist()):
         if depth + longest < window or first == last:
             continue
-        need = window - depth
         members = by_left[np.sort(rank[first : last + 1])]
         near = _agree(flat, sizes, members[:-1], members[1:])
-        if (near < need).all():
+        own = np.maximum(np.r_[-1, near], np.r_[near, -1])  # each leaf's longest left extension shared in the interval
+        fresh = (own + depth >= window) & (own > reach[members])
+        if not fresh.any():  # left extensions add nothing to what deeper intervals gave
+            continue
+        reach[members[fresh]] = own[fresh]
+        if len(members) == 2:
+            yield int(near[0]), depth, members, members[fresh]
             continue
-        child = np.r_[0, np.cumsum(lcp[first:last] == depth)][members - first]
         for left, a, b in intervals(near.tolist()):
-            if left < need or a == b:
-                continue
-            inside = child[a : b + 1]
-            if (inside != inside[0]).any():  # else a longer common prefix holds them
-                out.append((left, depth, members[a : b + 1].tolist()))
-    return out
+            if left + depth >= window and a < b:
+                new = fresh[a : b + 1] & (own[a : b + 1] == left)
+                if new.any():
+                    yield left, depth, members[a : b + 1], members[a : b + 1][new]
 
 
-def _scan(window: int):
-    """Groups of sorted rows (g, left, right, key, ctx, n) to rows of maximal repeats."""
+def _scan(window: int, whole: bool):
+    """Groups of sorted rows (g, left, right, key, ctx, n) to rows of maximal repeats: all their leaves, or only the fresh ones."""
     names = ["g", "part", "size", "l", "r", "key", "ctx", "best"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
     def emit(g: int, rows: list[tuple], out: list[list]) -> None:
-        for part, (left, right, leaves) in enumerate(found := maximal_repeats([r[0] for r in rows], [r[1] for r in rows], [r[4] for r in rows], window)):
-            size = sum(rows[i][4] for i in leaves)
-            for i in leaves:
-                out.append([g, part, size, left, right, rows[i][2], rows[i][3], False])
-        tops: dict[tuple, list[tuple[int, int, int]]] = {}
-        base = len(out) - sum(len(x[2]) for x in found)
-        for at in range(base, len(out)):
-            tops.setdefault((out[at][5], out[at][6]), []).append((-out[at][3], -out[at][4], at))
-        for pairs in tops.values():
-            reach = 0
-            for _, right, at in sorted(pairs):  # by L from the longest: a pair counts if its R is longer than all before
-                if -right > reach:
-                    out[at][7], reach = True, -right
+        counts = [r[4] for r in rows]
+        for part, (left, right, leaves, fresh) in enumerate(maximal_repeats([r[0] for r in rows], [r[1] for r in rows], counts, window)):
+            size, new = sum(counts[i] for i in leaves.tolist()), set(fresh.tolist())
+            for i in leaves.tolist() if whole else new:
+                for column, value in zip(out, (g, part, size, left, right, rows[i][2], rows[i][3], i in new)):
+                    column.append(value)
 
     def pack(out: list[list]) -> pa.RecordBatch:
-        columns = [list(x) for x in zip(*out)] if out else [[] for _ in names]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
+        now, rows, out = None, [], [[] for _ in names]
         for b in batches:
             for g, left, right, key, ctx, n in zip(*(b.column(c).to_pylist() for c in ("g", "left", "right", "key", "ctx", "n"))):
                 if g != now:
                     if rows:
                         emit(now, rows, out)
+                    if len(out[0]) > 50_000:
+                        yield pack(out)
+                        out = [[] for _ in names]
                     now, rows = g, []
                 if not rows or rows[-1][1:4] != (right, key, ctx):  # a repeated row of the input sends a leaf twice
                     rows.append((left, right, key, ctx, n))
-            if len(out) > 20_000:
-                yield pack(out)
-                out = []
         if rows:
             emit(now, rows, out)
         yield pack(out)
@@ -243,9 +261,9 @@ LEAF = "g long, left binary, right binary, key long, ctx long, n long, low int,
 FOUND = "g long, part int, size long, l int, r int, key long, ctx long, best boolean"
 
 
-def scan_leaves(leaves: DataFrame, window: int, gram: int, most: int = MOST) -> DataFrame:
+def scan_leaves(leaves: DataFrame, window: int, gram: int, most: int = MOST, whole: bool = False) -> DataFrame:
     """Rows of maximal repeats from leaf rows (see LEAF); no group of more than ``most`` rows meets in a task."""
-    run, found, width = _scan(window), None, window - gram + 1
+    run, found, width = _scan(window, whole), None, window - gram + 1
     while True:
         hot = materialize(leaves.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > most), "hot")
         some = bool(hot.head(1))
@@ -262,13 +280,13 @@ def scan_leaves(leaves: DataFrame, window: int, gram: int, most: int = MOST) ->
             return found.union(last)
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, occurrences, repeats).
 
     texts: id, th (hash of the text), text. occurrences: an anchor's leaf (key,
     ctx), its row (id, th) and place. repeats: for each maximal repeat (g, part) its
-    occurrence count, reach before and after the anchor, and leaves; ``best`` marks
-    the pairs that no other pair of the leaf contains.
+    occurrence count, reach before and after the anchor, and leaves: all of them if
+    ``whole``, else those that no longer repeat covers, which ``best`` marks.
     """
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
     found = materialize(find_anchors(texts, window, gram), "anchors")
@@ -298,7 +316,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["g", "left", "right", "key", "ctx", "n", "low", "high"])
 
     rows = materialize(fetched.mapInArrow(contexts, LEAF), "contexts")
-    repeats = materialize(single.union(scan_leaves(rows, window, gram, most)), "repeats")
+    repeats = materialize(single.union(scan_leaves(rows, window, gram, most, whole)), "repeats")
     return texts, occurrences, repeats
 
 
@@ -308,7 +326,7 @@ def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     Repeats longer than a context come as several, one for each anchor, that
     overlap. Starts are byte offsets.
     """
-    _, occurrences, repeats = find_repeats(docs, window, gram, most, id_col, text_col)
+    _, occurrences, repeats = find_repeats(docs, window, gram, most, id_col, text_col, whole=True)
     joined = repeats.join(occurrences, ["key", "ctx"])
     return joined.select(F.concat_ws("-", F.hex("g"), "part").alias("repeat"), (F.col("l") + F.col("r")).alias("n_bytes"), F.col("size").alias("n_occurrences"), F.col("id").alias(id_col), (F.col("pos") - F.col("l")).alias("start"))
 
