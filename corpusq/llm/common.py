@@ -127,3 +127,8 @@ def worker_cache() -> dict:
     import sys
 
     return sys.__dict__.setdefault("_corpusq_worker_cache", {})
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most`` rows; beyond that a shuffle joins it."""
+    return F.broadcast(df) if df.count() <= most else df

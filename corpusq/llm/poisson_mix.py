@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, materialize
+
 SEED = "mix-1"
 #: Target weight of a source: its bytes to this power (1: as it is, 0: all sources alike).
 ALPHA = 0.5
 #: Bytes wanted in all, as a multiple of the bytes there are.
 EPOCHS = 1.0
+#: Sources up to which their rates are broadcast (about 500 bytes each); beyond it a shuffle joins them.
+SOURCES = 20_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -61,13 +65,15 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     an empty table give none. A hot source costs nothing: sizes combine on the map
     side and rates join as one row for each source.
     """
-    rated = cumulative(rates(docs, weights, alpha, epochs, source, text)).select(F.col("mix_source").alias("_mix_source"), F.col("cdf").alias("_cdf"))
-    u = uniform(F.lit(seed), docs[id_col])
-    drawn = docs.join(rated, docs[source].eqNullSafe(rated["_mix_source"]))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.withColumn("_u", u).withColumn("_n", count).where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary")))
-    return keyed.select(*docs.columns, "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    own = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
+    rated = materialize(cumulative(rates(docs, weights, alpha, epochs, source, text)).select("mix_source", "cdf"), "rates")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"))
+    drawn = given.join(broadcast_if_small(rated, SOURCES), F.col("source").eqNullSafe(F.col("mix_source")))
+    counted = drawn.withColumn("u", uniform(F.lit(seed), F.col("id"))).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    copies = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary"))
+    keyed = copies.select("row", "mix_copy", key.alias("mix_key"))
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select("row.*", "mix_copy", "mix_key")
 
 
 ORACLE = """

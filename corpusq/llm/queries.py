@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, covering_simhash, decontaminate, fertility, lattice_lm, poisson_mix, suffix_dedup, token_attribution, weak_toxicity
+from . import chat_rotation, covering_simhash, decontaminate, fertility, fuzzy_lines, lattice_lm, poisson_mix, suffix_dedup, token_attribution, weak_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fuzzy_lines.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.token_counts(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lattice_lm": op6_lattice_lm,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_covering_simhash": op8_covering_simhash,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_token_attribution": op10_token_attribution,
 }
 #: Left out where SQL has no counterpart (XXH64, tokenisers, alignments, fitted models); tests compare those with plain versions.
