@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, slices, text_or_empty
 
 FOLDS, HELD = 5, 0
-FIT_ROWS = 20_000
+FIT_ROWS = 16_000
 #: Mined voters: at most so many on each side, each in so many sampled rows at least.
-MINED, LEAST_ROWS = 400, 5
+MINED, LEAST_ROWS = 250, 5
 OPENINGS = (4, 5, 6, 7, 8)
 #: Given lexicons, in no way complete: mining adds what a corpus uses.
 LEXICONS = {
@@ -48,9 +48,9 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def terms_of(text: str) -> Counter:
-    """Counts of the lower-cased words of a text."""
-    return Counter(WORD.findall(text.lower()))
+def terms_of(text: str) -> set[str]:
+    """The lower-cased words of a text."""
+    return set(WORD.findall(text.lower()))
 
 
 def openings(word: str) -> list[str]:
@@ -59,7 +59,7 @@ def openings(word: str) -> list[str]:
 
 
 class Voters:
-    """Turns a text into firing counts: lexicons, then patterns, then mined terms."""
+    """Tells which voters fire on a text: lexicons, then patterns, then mined terms."""
 
     def __init__(self, mined: list[str]):
         self.names = [*LEXICONS, *PATTERNS, *mined]
@@ -71,32 +71,20 @@ class Voters:
             self.by_term.setdefault(term, []).append(i)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def fire(self, text: str) -> tuple[Counter, int]:
-        fired: Counter = Counter()
-        counts, known, by_term = terms_of(text), self.known, self.by_term
-        for word, n in counts.items():
+    def fire(self, text: str) -> set[int]:
+        """The voters that fire on a text."""
+        fired, known, by_term = set(), self.known, self.by_term
+        for word in terms_of(text):
             hits = known.get(word)
             if hits is None:
                 hits = tuple(sorted({i for t in openings(word) for i in by_term.get(t, ())}))
                 if len(known) >= 500_000:
                     known.clear()
                 known[word] = hits
-            for i in hits:
-                fired[i] += n
-        for i, pattern in enumerate(PATTERNS.values(), len(LEXICONS)):
-            n = len(pattern.findall(text))
-            if n:
-                fired[i] = n
-        return fired, sum(counts.values())
-
-
-def features(fired: Counter, n_words: int) -> tuple[list[int], list[float]]:
-    """Sparse inputs of the classifier: that a voter fires, and how densely."""
-    at, value = [], []
-    for i, n in fired.items():
-        at += [2 * i, 2 * i + 1]
-        value += [1.0, min(4.0, 30.0 * n / max(n_words, 30))]
-    return at, value
+            if hits:
+                fired.update(hits)
+        fired.update(i for i, pattern in enumerate(PATTERNS.values(), len(LEXICONS)) if pattern.search(text))
+        return fired
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -143,36 +131,35 @@ def mine(rows: DataFrame, mined: int = MINED, least: int = LEAST_ROWS) -> list[t
     return out
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 8) -> np.ndarray:
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 5) -> np.ndarray:
     """Posteriors of the hidden class for rows of 0/1 ``votes``, gold labels being one more voter."""
-    x = np.c_[votes, gold].astype(float)
-    post = np.where(gold > 0, 0.9, 0.1)
+    x = np.c_[votes, gold].astype(np.float32)
+    post = np.where(gold > 0, 0.9, 0.1).astype(np.float32)
     for _ in range(rounds):
-        weight = np.array([(1 - post).sum(), post.sum()]) + 1.0
-        rate = [((1 - post) @ x + 0.05) / (weight[0] + 0.1), (post @ x + 0.05) / (weight[1] + 0.1)]  # accuracies
-        centred = [x - r for r in rate]
-        cov = (centred[0].T * (1 - post)) @ centred[0] + (centred[1].T * post) @ centred[1]
-        cov = cov / weight.sum()  # correlations within classes
-        ridge = 0.1 * np.diag(cov).mean() + 1e-4
-        direction = np.linalg.solve(cov + np.diag(0.1 * np.diag(cov) + ridge * 0.1), rate[1] - rate[0])
-        middle = (rate[0] + rate[1]) / 2
-        logit = (x - middle) @ direction + np.log(weight[1] / weight[0])
-        post = 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
-        post = np.clip(post, 0.01, 0.99)
+        rate, cov = [], np.zeros((x.shape[1], x.shape[1]))
+        for p in (1 - post, post):
+            n = p.sum() + 1.0
+            rate.append((p @ x + 0.05) / (n + 0.1))  # accuracies
+            cov += (x * p[:, None]).T @ x - n * np.outer(rate[-1], rate[-1])  # correlations within a class
+        cov /= len(x) + 2.0
+        spread = np.maximum(np.diag(cov), 1e-5)
+        direction = np.linalg.solve(cov + np.diag(0.1 * spread + 1e-3), rate[1] - rate[0])
+        logit = (x - (rate[0] + rate[1]) / 2) @ direction + np.log((post.sum() + 1) / ((1 - post).sum() + 1))
+        post = np.clip(1 / (1 + np.exp(-np.clip(logit, -12, 12))), 0.01, 0.99).astype(np.float32)
     return post
 
 
-def fit_linear(inputs: np.ndarray, target: np.ndarray, decay: float = 1.0, rounds: int = 25) -> np.ndarray:
+def fit_linear(inputs: np.ndarray, target: np.ndarray, decay: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Logistic weights (the last is the constant) on soft targets, by Newton steps."""
-    x = np.c_[inputs, np.ones(len(inputs))]
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], decay)
+    x = np.c_[inputs, np.ones(len(inputs))].astype(np.float32)
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], decay)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(penalty), x.T @ (p - target) + penalty * w)
+        curve = (x * (p * (1 - p) + 1e-6).astype(np.float32)[:, None]).T @ x
+        step = np.linalg.solve(curve + np.diag(penalty), x.T @ (p - target) + penalty * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -183,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     mined = mine(rows)
     terms = [t for t, _ in mined]
     size = len(LEXICONS) + len(PATTERNS) + len(terms)
-    fallback = np.zeros(2 * size + 1)
-    fallback[[2 * i for i, name in enumerate(LEXICONS) if name.startswith("insults")]] = 4.0
+    fallback = np.zeros(size + 1)
+    fallback[[i for i, name in enumerate(LEXICONS) if name.startswith("insults")]] = 4.0
     fallback[-1] = -2.0
     if not mined:
         return terms, fallback
@@ -192,18 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(terms)
         for b in batches:
-            got = [features(*voters.fire(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["toxic", "at", "value"])
-
-    got = rows.mapInArrow(vote, "toxic int, at array<int>, value array<float>").toArrow()  # at most fit_rows rows
-    toxic = np.array(got.column("toxic").to_pylist(), float)
-    inputs = np.zeros((got.num_rows, 2 * size), np.float32)
-    for i, (at, value) in enumerate(zip(got.column("at").to_pylist(), got.column("value").to_pylist())):
-        inputs[i, at] = value
-    target = label_model(inputs[:, ::2] > 0, toxic)
-    used = np.flatnonzero((inputs != 0).any(axis=0))
-    weights = np.zeros(2 * size + 1)
-    weights[np.r_[used, 2 * size]] = fit_linear(inputs[:, used].astype(float), target)
+            fired = [sorted(voters.fire(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(fired, pa.list_(pa.int32()))], ["toxic", "fired"])
+
+    got = rows.mapInArrow(vote, "toxic int, fired array<int>").toArrow()  # at most fit_rows rows
+    gold = (np.array(got.column("toxic").to_pylist()) > 0).astype(np.float32)
+    votes = np.zeros((got.num_rows, size), np.float32)
+    for i, fired in enumerate(got.column("fired").to_pylist()):
+        votes[i, fired] = 1
+    weights = np.zeros(size + 1)
+    used = np.flatnonzero(votes.any(axis=0))
+    weights[np.r_[used, size]] = fit_linear(votes[:, used], label_model(votes[:, used], gold))
     return terms, weights
 
 
@@ -217,8 +203,7 @@ def score(docs: DataFrame, terms: list[str], weights: np.ndarray, id_col: str =
         for b in slices(batches, "text"):
             logits = []
             for text in b.column("text").to_pylist():
-                at, value = features(*voters.fire(text))
-                logits.append(w[-1] + sum(w[i] * v for i, v in zip(at, value)))
+                logits.append(w[-1] + sum([w[i] for i in voters.fire(text)]))
             p = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p)], ["id", "score"])
 
@@ -249,8 +234,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_
         for b in slices(batches, text_col):
             keep = []
             for text in b.column(text_col).to_pylist():
-                at, value = features(*voters.fire(text or ""))
-                keep.append(w[-1] + sum(w[i] * v for i, v in zip(at, value)) < 0)
+                keep.append(w[-1] + sum([w[i] for i in voters.fire(text or "")]) < 0)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return out.mapInArrow(run, out.schema)
