@@ -4,7 +4,7 @@ Each word of a text is encoded by two public vocabularies. Three measures follow
 characters per token (how well a vocabulary knows the words), the share of
 byte-fallback tokens (how many characters it does not know at all) and the entropy
 of the token distribution. Each language has its own band for each measure: the
-median of all its documents that pass the base rules, plus or minus a multiple of
+quartiles of all its documents that pass the base rules, widened by a multiple of
 the quartile range. A document outside a band is rejected.
 
 Words are encoded once for each worker and kept in a bounded cache; what is
@@ -29,9 +29,11 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 #: A band reaches this many quartile ranges beyond the quartiles.
-REACH = 3.0
+REACH = 2.5
 #: Least half width of a band, by measure, so that a language of like documents is not cut to its median.
-FLOORS = {"chars_per_token": 0.25, "bytes_per_token": 0.25, "fallback_share": 0.02, "entropy_gap": 0.08}
+FLOORS = {"chars_per_token": 0.08, "bytes_per_token": 0.08, "fallback_share": 0.02, "entropy_gap": 0.08}
+#: Below this many words a band widens by the root of how few there are: short texts vary more.
+STEADY_WORDS = 200
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 300_000
 #: Documents below this many tokens have too few for an entropy to mean much.
@@ -206,8 +208,8 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REAC
     quartiles = good.groupBy("lang").agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"q_{m}") for m in FLOORS])
     reasons = []
     for m, floor in FLOORS.items():
-        low, mid, high = (F.col(f"q_{m}")[i] for i in range(3))
-        width = F.greatest(reach * (high - low), F.lit(floor))
+        low, _, high = (F.col(f"q_{m}")[i] for i in range(3))
+        width = F.greatest(reach * (high - low), F.lit(floor)) * F.greatest(F.lit(1.0), F.sqrt(STEADY_WORDS / F.greatest("n_words", F.lit(1))))
         if m == "fallback_share" or m == "entropy_gap":
             reasons.append(F.when(F.col(m) > high + width, m))
         else:

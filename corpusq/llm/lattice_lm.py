@@ -35,7 +35,9 @@ ROUNDS = 2
 #: Expected count that every piece has beside what training gives it.
 PRIOR = 0.05
 #: Words of text whose occurrences are packed together.
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 2_200_000
+#: Row numbers share a record of sums if they agree but for so many low bits.
+BLOCK = 10
 SPACE = "▁"
 
 
@@ -62,62 +64,97 @@ class Lattice:
         n = len(pieces)
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.logs, self.longest, self.end, self.n = logs, longest, logs[-1], n
-        self.weight = dict(zip(pieces, logs))
+        # all openings of pieces: the log weight of a piece, None for an opening that is none
+        self.weight: dict[str, float | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self.weight.update(zip(pieces, logs))
 
-    def arcs(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the pieces that end there: start, log weight, ids."""
-        get, ids, n, longest = self.weight.get, self.ids, len(text), self.longest
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                part = text[i:j]
-                w = get(part)
-                if w is not None:
-                    into[j].append((i, w, (ids[part],)))
-                elif j == i + 1:  # a character that is no piece is spelt in bytes
-                    path = tuple(self.n + b for b in part.encode("utf-8", "replace"))
-                    into[j].append((i, sum(self.logs[b] for b in path), path))
-        return into
+    def spelt(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """A character that is no piece, in bytes."""
+        path = tuple(self.n + b for b in char.encode("utf-8", "replace"))
+        return sum(self.logs[b] for b in path), path
 
     def forward(self, word: str) -> float:
-        """Log probability of a word over all segmentations."""
+        """Log probability of a word over all segmentations, by the forward recursion in log space."""
         text = SPACE + word
-        get, n, longest = self.weight.get, len(text), self.longest
-        alpha = [0.0]
-        exp, log = math.exp, math.log
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                w = get(text[i:j])
+        get, n, exp, log = self.weight.get, len(text), math.exp, math.log
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        for i in range(n):
+            terms = into[i]
+            if len(terms) == 1:
+                alpha = terms[0]
+            else:
+                top = max(terms)
+                alpha = top + log(sum([exp(t - top) for t in terms]))
+            w = get(text[i], 0)
+            if w is None or w == 0:
+                into[i + 1].append(alpha + self.spelt(text[i])[0])
+                if w == 0:
+                    continue
+            else:
+                into[i + 1].append(alpha + w)
+            for j in range(i + 2, n + 1):
+                w = get(text[i:j], 0)
                 if w is not None:
-                    terms.append(alpha[i] + w)
-            if get(text[j - 1]) is None:
-                terms.append(alpha[j - 1] + sum(self.logs[self.n + b] for b in text[j - 1].encode("utf-8", "replace")))
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
-        return alpha[n]
-
-    def expect(self, word: str, count: float, into: np.ndarray) -> None:
-        """Add to ``into`` the expected uses of each piece in ``count`` times the word."""
+                    if w == 0:
+                        break
+                    into[j].append(alpha + w)
+        terms = into[n]
+        top = max(terms)
+        return top + log(sum([exp(t - top) for t in terms]))
+
+    def expect(self, word: str, count: float, into: list[float]) -> None:
+        """Add to ``into`` the expected uses of each piece in ``count`` times the word.
+
+        Forward sums are scaled at each place, so long words do not underflow.
+        """
         text = SPACE + word
-        arcs, n = self.arcs(text), len(text)
-        exp, log = math.exp, math.log
-        alpha = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            terms = [alpha[i] + w for i, w, _ in arcs[j]]
-            top = max(terms)
-            alpha[j] = top + log(sum([exp(t - top) for t in terms]))
-        # beta in place of a second sum: what flows into j is shared out over its arcs
+        get, ids, n, exp = self.weight.get, self.ids, len(text), math.exp
+        arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        alpha, scale = [0.0] * (n + 1), [0.0] * (n + 1)
+        alpha[0] = 1.0
+        for i in range(n):
+            if i:
+                total, shift = 0.0, scale[arcs[i][0][0]]
+                for h, p, _ in arcs[i]:
+                    total += alpha[h] * p * exp(scale[h] - shift) if scale[h] != shift else alpha[h] * p
+                alpha[i], scale[i] = total, shift
+                if total < 1e-200:
+                    alpha[i], scale[i] = 1.0, shift + math.log(total)
+            w = get(text[i], 0)
+            if w is None or w == 0:
+                spelt, path = self.spelt(text[i])
+                arcs[i + 1].append((i, exp(spelt), path))
+                if w == 0:
+                    continue
+            else:
+                arcs[i + 1].append((i, exp(w), (ids[text[i]],)))
+            for j in range(i + 2, n + 1):
+                part = text[i:j]
+                w = get(part, 0)
+                if w is not None:
+                    if w == 0:
+                        break
+                    arcs[j].append((i, exp(w), (ids[part],)))
         flow = [0.0] * (n + 1)
         flow[n] = count
         for j in range(n, 0, -1):
             f = flow[j]
-            if f > 0:
-                for i, w, path in arcs[j]:
-                    share = f * exp(alpha[i] + w - alpha[j])
-                    flow[i] += share
-                    for k in path:
-                        into[k] += share
+            if f <= 0:
+                continue
+            if len(arcs[j]) == 1:
+                i, _, path = arcs[j][0]
+                flow[i] += f
+                for k in path:
+                    into[k] += f
+                continue
+            shift = max(scale[i] for i, _, _ in arcs[j])
+            parts = [alpha[i] * p * exp(scale[i] - shift) if scale[i] != shift else alpha[i] * p for i, p, _ in arcs[j]]
+            share = f / sum(parts)
+            for (i, _, path), part in zip(arcs[j], parts):
+                flow[i] += part * share
+                for k in path:
+                    into[k] += part * share
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -231,15 +268,20 @@ def lm_scores(docs: DataFrame, folder: str = TOKENIZERS, rounds: int = ROUNDS, i
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c > 0), pa.array(np.log10((c + 1) / floor)), pa.array(logs / math.log(10))], ["word", "known", "base", "lw"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by row over some packed rows, laid out as one record for each block of row numbers."""
         parts: list[list[np.ndarray]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             row, *sums = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
             distinct_rows, back = np.unique(row, return_inverse=True)
-            sums = [np.bincount(back, x) for x in sums]
-            parts[:] = [[distinct_rows, *sums]]
-            return pa.RecordBatch.from_arrays([pa.array(distinct_rows), pa.array(np.rint(sums[0]).astype(np.int64)), *map(pa.array, sums[1:])], ["row", "n_known", "base", "lw"])
+            columns = [distinct_rows.astype("<i8"), *(np.bincount(back, x).astype("<f8") for x in sums)]
+            block = distinct_rows >> BLOCK
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            ends = np.r_[cut[1:], len(block)]
+            packed_columns = [[c[s:e].tobytes() for s, e in zip(cut.tolist(), ends.tolist())] for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(block[cut]), *(pa.array(c, pa.binary()) for c in packed_columns)], ["block", "rows", "known", "base", "lw"])
 
         for b in batches:
             sizes = np.diff(np.frombuffer(b.column("rows").buffers()[1], np.int32)[b.column("rows").offset :][: b.num_rows + 1]) // 8
@@ -248,18 +290,35 @@ def lm_scores(docs: DataFrame, folder: str = TOKENIZERS, rounds: int = ROUNDS, i
             parts.append([row, known.astype(float), base, lw])
             held += len(row)
             if held > 2_000_000:
-                flush()
+                yield flush()
                 held = 0
-                if len(parts[0][0]) > 1_000_000:
+        if parts:
+            yield flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by row from records in order of block."""
+        now, parts = None, []
+
+        def flush() -> pa.RecordBatch:
+            row, *sums = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts), ("<i8", "<f8", "<f8", "<f8")))
+            distinct_rows, back = np.unique(row, return_inverse=True)
+            known, base, lw = (np.bincount(back, x) for x in sums)
+            return pa.RecordBatch.from_arrays([pa.array(distinct_rows), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(lw)], ["row", "n_known", "base", "lw"])
+
+        for b in batches:
+            for block, *record in zip(*(b.column(c).to_pylist() for c in ("block", "rows", "known", "base", "lw"))):
+                if block != now and parts:
                     yield flush()
-                    parts.clear()
+                    parts = []
+                now = block
+                parts.append(record)
         if parts:
             yield flush()
 
     words = materialize(counts.mapInArrow(score, "word string, known boolean, base double, lw double"), "words")
     joined = packed.where("word is not null").select("word", "rows", "tfs").join(words, "word")
-    sums = joined.select("rows", "tfs", "known", "base", "lw").mapInArrow(add, "row long, n_known long, base double, lw double")
-    summed = sums.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("lw").alias("lw"))
+    sums = joined.select("rows", "tfs", "known", "base", "lw").mapInArrow(add, "block long, rows binary, known binary, base binary, lw binary")
+    summed = sums.repartition("block").sortWithinPartitions("block").mapInArrow(settle, "row long, n_known long, base double, lw double")
     end_base, end_log = math.log10((ends + 1) / floor), end_weight / math.log(10)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.join(summed, "row", "left").select(
