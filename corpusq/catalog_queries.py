@@ -266,7 +266,7 @@ def lexicon_match(spark, sf_dir):
     return lexicon.matches(q, to_table(spark, lexicon.entries(LEXICON))).select("item_id", "entry_id", F.array_join("matched", ",").alias("matched"))
 
 
-@query("SELECT 'the fund of THE ETF' AS query, 'the fund of THE ETF definite article determiner une una fund units net asset value' AS expanded, 'articles,acronym' AS applied")
+@query("SELECT 'the fund of THE ETF' AS query, 'the fund of THE ETF definite article determiner une una fund units net asset value conjunction que avec' AS expanded, 'articles,acronym,link' AS applied")
 def lexicon_expand(spark, sf_dir):
     e = lexicon.expand("the fund of THE ETF", lexicon.entries(LEXICON))
     return spark.createDataFrame([(e.original, e.expanded, ",".join(a.entry.id for a in e.applied))], "query string, expanded string, applied string")
@@ -394,7 +394,7 @@ def slugify(spark, sf_dir):
 @query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE url END AS safe FROM pages""")
 def safe_url(spark, sf_dir):
     k, u = F.col("page_id") % 5, F.col("url")
-    spoilt = F.when(k == 0, F.replace(u, F.lit("http://"), F.lit("http://me:pw@"))).when(k == 1, F.concat(u, F.lit("%0a"))).when(k == 2, F.concat(F.lit("ftp"), u)).otherwise(F.concat(F.lit(" "), u, F.lit(" ")))
+    spoilt = F.when(k == 0, F.replace(u, F.lit("://"), F.lit("://me:pw@"))).when(k == 1, F.concat(u, F.lit("%0a"))).when(k == 2, F.concat(F.lit("ftp"), u)).otherwise(F.concat(F.lit(" "), u, F.lit(" ")))
     return table(spark, sf_dir, "pages").select("page_id", entities.safe_url(spoilt).alias("safe"))
 
 
@@ -543,7 +543,7 @@ def tool_metrics(spark, sf_dir):
 
 @query("""SELECT 'requests_total{tool="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
 def metrics_exposition(spark, sf_dir):
-    return evaluation.exposition(evaluation.request_counts(table(spark, sf_dir, "events"), "event_type"), "requests_total", "tool", "n").select(F.replace("line", F.lit('{event_type="'), F.lit('{tool="')).alias("line"))
+    return evaluation.exposition(evaluation.request_counts(table(spark, sf_dir, "events"), "event_type"), "requests_total", "tool", "event_type", "n")
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY user_id, start")
@@ -568,7 +568,8 @@ def publish_roundtrip(spark, sf_dir):
     from .sources import generation
     from .operators.index import Index
 
-    root = os.path.join(tempfile.mkdtemp(prefix="corpusq-generation-"), "index")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    root = tempfile.mkdtemp(prefix="corpusq-generation-", dir=shared if os.path.isdir(shared) else None)
     chunks = window_chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "ord", "idx", "text", F.lit("body").alias("source"), *[F.lit("").alias(c) for c in ("attachment_id", "attachment_title", "attachment_file", "attachment_status", "article_id")], F.array().cast("array<string>").alias("heading_path"))
     docs = corpus(spark, sf_dir).drop("doc_id")
     p = postings_of(chunks, "text")

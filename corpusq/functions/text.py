@@ -88,13 +88,17 @@ def is_short_acronym(x: Column | str) -> Column:
     return F.trim(_c(x)).rlike("^[A-Z]{2,4}$")
 
 
-@F.pandas_udf("string")
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode NFC, which Spark has no function for."""
-    import unicodedata
+def nfc(x: Column | str) -> Column:
+    """Unicode NFC, which Spark has no function for. Made on use, for a module has no session when it is imported."""
 
-    for x in batches:
-        yield x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import unicodedata
+
+        for values in batches:
+            yield values.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+    return run(_c(x))
 
 
 def newlines(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .lexicon import tokenize
 
@@ -54,9 +55,9 @@ def tool_metrics(log: DataFrame, key: str, seconds: Column) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("calls"), F.sum(seconds).alias("seconds"))
 
 
-def exposition(metrics: DataFrame, name: str, label: str, value: str) -> DataFrame:
-    """Lines of the text exposition format."""
-    text = F.replace(F.replace(F.replace(F.col(label).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+def exposition(metrics: DataFrame, name: str, label: str, key: str, value: str) -> DataFrame:
+    """Lines of the text exposition format; ``label`` names what ``key`` holds."""
+    text = F.replace(F.replace(F.replace(F.col(key).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     return metrics.select(F.concat(F.lit(f'{name}{{{label}="'), text, F.lit('"} '), F.col(value).cast("string")).alias("line"))
 
 
@@ -67,8 +68,8 @@ def rate_limited(log: DataFrame, host: str, at: str, most: int, seconds: int) ->
     inside sorted partitions, one row at a time and with one counter, so a host
     that makes most requests needs no more memory than another.
     """
-    schema = log.schema.add("allowed", "boolean")
     names = log.columns
+    schema = StructType([*log.schema.fields, StructField("allowed", BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, start, used = None, None, 0
@@ -91,5 +92,5 @@ def rate_windows(log: DataFrame, host: str, at: str, seconds: int) -> DataFrame:
 
 def over_rate(log: DataFrame, host: str, at: str, most: int, seconds: int) -> DataFrame:
     """Requests with more than ``most`` of their host in the ``seconds`` up to them: a range frame."""
-    w = Window.partitionBy(host).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-float(seconds), 0)
+    w = Window.partitionBy(host).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return log.withColumn("recent", F.count("*").over(w)).where(F.col("recent") > most)
