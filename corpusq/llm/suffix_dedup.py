@@ -1,14 +1,13 @@
 """Exact substring dedup: maximal repeats from the common-prefix interval trees of suffix arrays.
 
-Suffixes that can matter. Every window of ``window`` bytes holds the grams of least
-hash among its grams (minimisers), and which ones they are depends on the window's
-bytes alone. Two equal windows therefore share an anchor at the same place, so the
-suffixes that start at anchors find every repeat: about two in a window's length.
+Suffixes that can matter. Every window of ``window`` bytes has one anchor: the first
+of its grams of least hash. It depends on the window's bytes alone, so equal windows
+have their anchors at the same place, and the suffixes that start at anchors find
+every repeat: about two in a window's length, one for each period in a periodic text.
 
-Leaves. An anchor's context is what a window over it can reach: ``window - gram``
-bytes before and ``window`` bytes from it. Occurrences with equal contexts are one
-leaf with a count, so thousands of copies of a passage are one row. Anchors whose gram
-occurs once go no further.
+Leaves. An anchor's windows start in one run of places; its context is what they
+cover. Occurrences with equal contexts are one leaf with a count, so thousands of
+copies of a passage are one row. Anchors whose gram occurs once go no further.
 
 Trees. The leaves of one gram, in the order of their suffixes, with the common
 prefixes of neighbours are an enhanced suffix array. A stack scan gives its
@@ -62,26 +61,33 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, row and gram hash of every anchor of rows of text; windows do not cross rows."""
+def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Place, row, gram hash, and most and least bytes from a window's start, of every anchor of rows of text.
+
+    Windows do not cross rows. One running minimum over hash and place finds the
+    first gram of least hash of every window.
+    """
     none = np.zeros(0, np.int64)
     if len(buf) < window:
-        return none, none, none.astype(np.uint64)
-    h, width = gram_hashes(buf, gram), window - gram + 1
-    least = sliding(h, width, np.minimum)  # by window start
+        return none, none, none.astype(np.uint64), none, none
+    h, width, bits = gram_hashes(buf, gram), window - gram + 1, np.uint64(32)  # the same everywhere, so that equal windows agree
+    least = sliding((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), width, np.minimum)
     open_ = np.zeros(len(buf) + 1, np.int64)
     fits = offs[1:] - offs[:-1] >= window
     np.add.at(open_, offs[:-1][fits], 1)
     np.add.at(open_, offs[1:][fits] - window + 1, -1)
-    least = np.where(np.cumsum(open_)[: len(least)] > 0, least, np.uint64(0))
-    pad = np.zeros(width - 1, np.uint64)
-    most = sliding(np.r_[pad, least, pad], width, np.maximum)  # by gram: the greatest least of the windows over it
-    at = np.flatnonzero((most == h) & (most > 0))
-    return at, np.searchsorted(offs, at, "right") - 1, h[at]
+    starts = np.flatnonzero(np.cumsum(open_)[: len(least)])
+    if not len(starts):
+        return none, none, none.astype(np.uint64), none, none
+    at = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # an anchor's windows are next to each other
+    last = np.r_[first[1:], len(at)] - 1
+    place = at[first]
+    return place, np.searchsorted(offs, place, "right") - 1, h[place], place - starts[first], place - starts[last]
 
 
 def find_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, ctx, id, th, pos, lo, hi): an anchor's gram and context hashes, its row, place and reach on both sides."""
+    """(key, ctx, id, th, pos, lo, hi): an anchor's gram and context hashes, its row, place and context on both sides."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +96,10 @@ def find_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for b in slices(batches, "text"):
             buf, offs = text_buffer(b.column("text"))
-            at, row, h = anchors(buf, offs, window, gram)
+            at, row, h, lo, near = anchors(buf, offs, window, gram)
             if not len(at):
                 continue
-            lo = np.minimum(at - offs[row], window - gram)
-            hi = np.minimum(offs[row + 1] - at, window)
+            hi = window - near
             raw = buf.tobytes()
             ctx = np.array([digest(raw[p - x : p + y], x) for p, x, y in zip(at.tolist(), lo.tolist(), hi.tolist())], np.uint64)
             take = pa.array(row)
@@ -295,12 +300,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     leaves = occurrences.groupBy("key", "ctx", "lo", "hi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "pos")])
     leaves = materialize(leaves, "leaves")
     several = leaves.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    wide = F.col("lo") + F.col("hi") >= window
     # a gram with one leaf: its tree is that leaf
-    single = leaves.join(several, "key", "left_anti").where(wide & (F.col("n") > 1)).select(
+    single = leaves.join(several, "key", "left_anti").where("n > 1").select(
         F.col("key").alias("g"), F.lit(0).alias("part"), F.col("n").alias("size"), F.col("lo").alias("l"), F.col("hi").alias("r"), "key", "ctx", F.lit(True).alias("best")
     )
-    asked = leaves.join(several, "key").where(wide).groupBy("id", "th").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi", "n")).alias("asked"))
+    asked = leaves.join(several, "key").groupBy("id", "th").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi", "n")).alias("asked"))
     fetched = texts.alias("t").join(asked.alias("a"), F.col("t.id").eqNullSafe(F.col("a.id")) & (F.col("t.th") == F.col("a.th"))).select("text", "asked")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +344,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts, occurrences, repeats = find_repeats(docs, window, gram, most, id_col, text_col)
-    pairs = repeats.where("best").select("key", "ctx", "l", "r").distinct()
+    # all repeats of a leaf hold its anchor, so together they cover one span
+    pairs = repeats.where("best").groupBy("key", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     spans = occurrences.join(pairs, ["key", "ctx"]).select("id", "th", F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e")).alias("span")).distinct()
     cover = spans.groupBy("id", "th").agg(F.collect_list("span").alias("spans"))
     joined = texts.alias("t").join(cover.alias("c"), F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.th") == F.col("c.th")), "left").select("t.id", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"))
