@@ -168,8 +168,10 @@ def read_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 def read_texts(spark: SparkSession, root: str, docs: DataFrame) -> DataFrame:
     """(attachment_id, text) of converted attachments, from their text files under each document's folder."""
-    wanted = docs.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.explode("attachments").alias("a")).where("coalesce(a.text_path, '') <> ''")
-    wanted = wanted.select(F.col("a.id").alias("attachment_id"), F.concat_ws("/", "folder", "a.text_path").alias("path"))
+    # text paths are relative to the root and must lie in their document's attachments folder
+    base, folder = F.regexp_replace("path", "(/[^/]+){3}/index\\.md$", ""), F.regexp_replace("path", "/[^/]*$", "")
+    wanted = docs.select(base.alias("base"), folder.alias("folder"), F.explode("attachments").alias("a")).where("coalesce(a.text_path, '') <> ''")
+    wanted = wanted.select(F.col("a.id").alias("attachment_id"), F.concat_ws("/", "base", "a.text_path").alias("path"), "folder").where(F.col("path").startswith(F.concat("folder", F.lit("/attachments/")))).drop("folder")
     patterns = [p.replace("/index.md", "/attachments/*") for p in document_paths(root)]
     patterns = [p for p in patterns if list(Path(root).glob(p[len(root) + 1 :]))]
     if not patterns:
