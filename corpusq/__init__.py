@@ -1,3 +1,13 @@
-"""corpusq: hybrid retrieval and corpus analytics as Spark DataFrame plans."""
+"""corpusq: hybrid retrieval and corpus analytics as Spark DataFrame plans.
+
+Functions handed to Python workers are pickled by value, so executors need no copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
