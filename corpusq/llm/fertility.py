@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, powers, slices, span_hashes, text_buffer, text_or_empty, word_spans, worker_cache
+from .common import broadcast_if_small, materialize, powers, slices, span_hashes, text_buffer, text_or_empty, word_spans, worker_cache
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,8 @@ FLOORS = {"chars_per_token": 0.08, "bytes_per_token": 0.08, "fallback_share": 0.
 STEADY_WORDS = 200
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 300_000
+#: Languages up to which their bands are broadcast; beyond it a shuffle joins them.
+LANGUAGES = 10_000
 #: Documents below this many tokens have too few for an entropy to mean much.
 ENTROPY_TOKENS = 50
 
@@ -206,6 +208,7 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REAC
     )
     good = rated.where(~F.col("base_failed"))
     quartiles = good.groupBy("lang").agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"q_{m}") for m in FLOORS])
+    quartiles = broadcast_if_small(materialize(quartiles, "bands"), LANGUAGES)
     reasons = []
     for m, floor in FLOORS.items():
         low, _, high = (F.col(f"q_{m}")[i] for i in range(3))
