@@ -195,6 +195,14 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return edges
 
 
+def _grouped(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, least, root) of each fingerprint in ``prints(id, fp)``, and (root, component_id), the least id of each group."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    parts = connected_components(near_links(nodes.select("fp"), radius))
+    rooted = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
@@ -205,10 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size, seed), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    parts = connected_components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted, least = _grouped(prints, radius)
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -216,15 +221,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group; all columns stay.
+    """One row of ``docs`` for each group, that of the least id and then of the least text hash; all columns stay.
 
     A null id stays only where all ids of its group are null. Empty texts are one
-    group and so leave one row. Rows repeated under one id are cut to one.
+    group and so leave one row. Rows repeated under one id with one text are cut to
+    one; unlike texts under one id, or under none, are groups of their own.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, radius, size), "groups")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
-    kept = materialize(kept, "kept")
-    left = docs.join(kept.select("_kept"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    if kept.where("_n > 1").head(1):
-        left = left.dropDuplicates([id_col])
+    hashed = F.xxhash64(docs[text_col].cast("string"))
+    key = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), hashed.alias("th"))
+    prints = materialize(fingerprints(docs.select(key.alias("key"), docs[text_col].alias("text")), "key", "text", size), "prints")
+    _, least = _grouped(prints, radius)
+    kept = materialize(least.select("component_id", F.col("component_id.id").alias("_id"), F.col("component_id.th").alias("_th")), "kept")
+    left = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (hashed == kept["_th"]), "left_semi")
+    rows = prints.join(kept, prints["id"] == kept["component_id"], "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    if rows.where("n > 1").head(1):
+        mark = "_th"
+        while mark in docs.columns:
+            mark += "_"
+        left = left.withColumn(mark, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, mark]).drop(mark)
     return left

@@ -85,3 +85,13 @@ def test_whole_table_equals_brute_force(spark, sf_dir):
     assert kept == {c for _, _, c in want}
     twice = docs.union(docs).withColumn("_kept", F.lit(1))
     assert op.keep_one(twice).count() == len(kept)
+
+
+def test_keep_one_keeps_a_row_of_every_group(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue black white", "north east south west"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[2]), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _th int")
+    out = op.keep_one(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text or "") for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, "")], key=repr)
