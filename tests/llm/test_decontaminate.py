@@ -94,3 +94,27 @@ def test_empty_tables_and_short_items(spark):
     assert op.leaks(d.limit(0), none).count() == 0
     short = spark.createDataFrame([(7, "Two, three!")], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.score) for r in op.leaks(d, short).collect()] == [(1, 7, 1.0)] * 2
+
+
+def test_every_alignment_at_the_threshold_is_found(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijk", k=rng.randint(2, 8))) for _ in range(400)]
+    make = lambda n: rng.choices(vocabulary, k=n)
+    items = [make(16), *(make(n) for n in [1, 2, 3, 4, 5, 6, 7, 15, 15, 25, 40, 59])]
+    spaced = list(items[0])
+    for k in (4, 9, 14):
+        spaced[k] = "other"
+    texts = [make(10) + spaced + make(10)]
+    assert not {tuple(spaced[i : i + 5]) for i in range(12)} & {tuple(items[0][i : i + 5]) for i in range(12)}
+    for i in range(240):
+        passage = list(items[i % len(items)])
+        kinds = rng.choice(["s", "i", "d", "sid"])
+        for _ in range(rng.randint(0, 1 + (len(passage) * 3) // (4 if kinds == "i" else 8))):
+            k, kind = rng.randrange(len(passage)), rng.choice(kinds)
+            passage[k : k + 1] = {"s": make(1), "i": [passage[k], *make(1)], "d": []}[kind] or passage[k : k + 1][: len(passage) == 1]
+        texts.append(make(rng.randint(0, 30)) + passage + make(rng.randint(0, 30)))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in op.leaks(d, b).collect()}
+    want = {(i, j): plain(item, t) / (2 * len(item)) for i, t in enumerate(texts) for j, item in enumerate(items)}
+    assert (0, 0) in got and got == {k: x for k, x in want.items() if x >= 0.6}
