@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than these; all are ASCII, so bytes and code points agree.
@@ -27,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = tempfile.mkdtemp(prefix="corpusq-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -44,7 +46,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpusq-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them has itself been written."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_or_empty(name: str = "text"):
@@ -129,6 +141,11 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_corpusq_worker_cache", {})
 
 
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """A written table, marked for broadcast if it has at most ``most`` rows; beyond that a shuffle joins it."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 24 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its rows, of ``row_bytes`` each, come to ``most`` at most; beyond that a shuffle joins it."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df

@@ -208,7 +208,7 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REAC
     )
     good = rated.where(~F.col("base_failed"))
     quartiles = good.groupBy("lang").agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"q_{m}") for m in FLOORS])
-    quartiles = broadcast_if_small(materialize(quartiles, "bands"), LANGUAGES)
+    quartiles = broadcast_if_small(materialize(quartiles, "bands"), 512)
     reasons = []
     for m, floor in FLOORS.items():
         low, _, high = (F.col(f"q_{m}")[i] for i in range(3))

@@ -68,7 +68,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     own = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     rated = materialize(cumulative(rates(docs, weights, alpha, epochs, source, text)).select("mix_source", "cdf"), "rates")
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"))
-    drawn = given.join(broadcast_if_small(rated, SOURCES), F.col("source").eqNullSafe(F.col("mix_source")))
+    drawn = given.join(broadcast_if_small(rated, 256), F.col("source").eqNullSafe(F.col("mix_source")))
     counted = drawn.withColumn("u", uniform(F.lit(seed), F.col("id"))).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
     copies = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary"))
