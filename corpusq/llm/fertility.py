@@ -13,6 +13,7 @@ gathered for the bands is a quantile sketch for each language.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,30 @@ FLOORS = {"chars_per_token": 0.08, "bytes_per_token": 0.08, "fallback_share": 0.
 STEADY_WORDS = 200
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 300_000
-#: Languages up to which their bands are broadcast; beyond it a shuffle joins them.
-LANGUAGES = 10_000
-#: Documents below this many tokens have too few for an entropy to mean much.
-ENTROPY_TOKENS = 50
+#: Runs of this many characters, all white space or none, are encoded in pieces: the pattern's matcher fails at about a million.
+RUN = 400_000
+
+
+def whole_pieces(text: str, run: int = RUN) -> Iterator[str]:
+    """Cuts of a text that can be encoded one by one. Without a run of ``run`` characters there is one, the text.
+
+    Runs are cut where the pattern cuts them, that is before their last character
+    if a word follows white space, and inside only as pieces of ``run`` characters.
+    """
+    if len(text) < run:
+        yield text
+        return
+    done = 0
+    for found in re.finditer(r"\s++|\S++", text):
+        start, end = found.span()
+        if end - start < run:
+            continue
+        stop = end - 1 if text[start].isspace() and end < len(text) else end
+        cuts = [done, *range(start, stop, run), stop]
+        yield from (text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b)
+        done = stop
+    if done < len(text):
+        yield text[done:]
 
 
 class Encoder:
@@ -86,7 +107,7 @@ class Encoder:
             self.at[begin:end] = self.used + np.cumsum(count) - count
             self.n[begin:end] = count
             encode = self.bytes.encode_ordinary
-            self.n_bytes[begin:end] = [len(encode(" " + t)) for t in texts]
+            self.n_bytes[begin:end] = [len(encode(" " + t)) if len(t) < RUN else sum(len(encode(x)) for x in whole_pieces(" " + t)) for t in texts]
             self.used += total
             found[missing] = np.arange(begin, end)
             self.place.update(zip(hashes[missing].tolist(), range(begin, end)))
@@ -195,7 +216,9 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REAC
 
     Null texts are empty (and fail the base rules); a null language is a language
     of its own; repeated rows stay; other columns are not read. A language none of
-    whose documents pass the base rules has no band and rejects nothing more.
+    whose documents pass the base rules has no band and rejects nothing more. Bands
+    widen for short texts. Very long texts are measured whole (``RUN`` tells how
+    very long words are encoded). An empty table gives an empty result.
     """
     measured = materialize(measure(docs, folder, id_col, lang_col, text_col), "fertility")
     rated = (
@@ -203,8 +226,8 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REAC
         .withColumn("chars_per_token", F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")))
         .withColumn("bytes_per_token", F.when(F.col("n_byte_tokens") > 0, F.col("word_chars") / F.col("n_byte_tokens")))
         .withColumn("fallback_share", F.when(F.col("n_tokens") > 0, F.col("n_fallback") / F.col("n_tokens")))
-        # how far the entropy falls short of that of as many tokens, all different, capped at what documents of the size reach
-        .withColumn("entropy_gap", F.when(F.col("n_tokens") >= ENTROPY_TOKENS, 1 - F.col("entropy") / F.log2(F.col("n_tokens").cast("double"))))
+        # how far the entropy falls short of that of as many tokens, all different; one token has no entropy to speak of
+        .withColumn("entropy_gap", F.when(F.col("n_tokens") > 1, 1 - F.col("entropy") / F.log2(F.col("n_tokens").cast("double"))))
     )
     good = rated.where(~F.col("base_failed"))
     quartiles = good.groupBy("lang").agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"q_{m}") for m in FLOORS])

@@ -36,6 +36,14 @@ ROUNDS = 2
 PRIOR = 0.05
 #: Words of text whose occurrences are packed together.
 BATCH_WORDS = 2_200_000
+#: Bytes of distinct words that wait to be packed at most, beside those of one document.
+BATCH_BYTES = 16 << 20
+#: A word with more than this share of all packed rows is hot; there can be no more hot words than its inverse.
+HOT_SHARE = 0.001
+#: Words of up to this many characters are scored many at once.
+SHORT = 62
+#: Places of lattices that are worked on at once.
+CELLS = 400_000
 #: Row numbers share a record of sums if they agree but for so many low bits.
 BLOCK = 10
 SPACE = "▁"
@@ -67,6 +75,8 @@ class Lattice:
         # all openings of pieces: the log weight of a piece, None for an opening that is none
         self.weight: dict[str, float | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
         self.weight.update(zip(pieces, logs))
+        # the same with the pieces' numbers, -1 for an opening that is none
+        self.number: dict[str, int] = {**dict.fromkeys(self.weight, -1), **self.ids}
 
     def spelt(self, char: str) -> tuple[float, tuple[int, ...]]:
         """A character that is no piece, in bytes."""
@@ -157,6 +167,116 @@ class Lattice:
                     into[k] += part * share
 
 
+class Lattices:
+    """The lattices of many short words: each arc's word, start, end and number, in order of end and in order of start."""
+
+    def __init__(self, lattice: Lattice, words: list[str]):
+        get, base, arcs = lattice.number.get, len(lattice.logs), []
+        add = arcs.append
+        self.spelt: dict[str, int] = {}
+        for at, word in enumerate(words):
+            text = SPACE + word
+            n = len(text)
+            for i in range(n):
+                c = text[i]
+                k = get(c, -2)
+                place = (at << 6 | i) << 6
+                if k < 0:
+                    add((place | i + 1) << 32 | base + self.spelt.setdefault(c, len(self.spelt)))
+                    if k == -2:
+                        continue
+                else:
+                    add((place | i + 1) << 32 | k)
+                for j in range(i + 2, n + 1):
+                    k = get(text[i:j], -2)
+                    if k >= 0:
+                        add((place | j) << 32 | k)
+                    elif k == -2:
+                        break
+        packed = np.array(arcs, np.int64)
+        self.number = packed & 0xFFFFFFFF
+        self.end = packed >> 32 & 63
+        self.start = packed >> 38 & 63
+        self.word = packed >> 44
+        self.size = np.array([len(w) + 1 for w in words])
+        self.width = int(self.size.max()) + 1
+        paths = [lattice.spelt(c) for c in self.spelt]
+        self.paths = [path for _, path in paths]
+        self.logs = np.r_[np.array(lattice.logs), [log for log, _ in paths]][self.number]
+
+    def _sweep(self, into: np.ndarray, key: np.ndarray, other: np.ndarray, order: np.ndarray, steps: range) -> np.ndarray:
+        """Log sums over the arcs that meet at each place, place by place."""
+        cut = np.searchsorted(key[order], range(self.width + 1))
+        flat, row = into.reshape(-1), self.word * self.width
+        for j in steps:
+            arc = order[cut[j] : cut[j + 1]]
+            if not len(arc):
+                continue
+            term = flat[row[arc] + other[arc]] + self.logs[arc]
+            first = np.flatnonzero(np.r_[True, self.word[arc][1:] != self.word[arc][:-1]])
+            top = np.maximum.reduceat(term, first)
+            count = np.diff(np.r_[first, len(arc)])
+            flat[row[arc[first]] + j] = top + np.log(np.add.reduceat(np.exp(term - np.repeat(top, count)), first))
+        return into
+
+    def forward(self) -> np.ndarray:
+        """Log probabilities of all openings of the words; a word's own stands at its size."""
+        alpha = np.zeros((len(self.size), self.width))
+        return self._sweep(alpha, self.end, self.start, np.argsort(self.end, kind="stable"), range(1, self.width))
+
+    def totals(self, alpha: np.ndarray) -> np.ndarray:
+        return alpha[np.arange(len(self.size)), self.size]
+
+    def expect(self, counts: np.ndarray, into: np.ndarray) -> None:
+        """Add the expected uses of each piece in so many times each word."""
+        alpha = self.forward()
+        beta = np.zeros_like(alpha)
+        self._sweep(beta, self.start, self.end, np.argsort(self.start, kind="stable"), range(self.width - 1, -1, -1))
+        row = self.word * self.width
+        share = np.exp(alpha.reshape(-1)[row + self.start] + self.logs + beta.reshape(-1)[row + self.end] - self.totals(alpha)[self.word])
+        uses = np.bincount(self.number, share * counts[self.word], minlength=len(into) + len(self.paths))
+        into += uses[: len(into)]
+        for path, n in zip(self.paths, uses[len(into) :].tolist()):
+            for k in path:
+                into[k] += n
+
+
+def groups(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of short words, those of like length together, in bounded numbers."""
+    size = np.array([len(w) for w in words])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] < SHORT]
+    at = 0
+    while at < len(order):
+        to = at + max(1, CELLS // (int(size[order[at]]) + 8))
+        to = min(to, len(order), at + int(np.searchsorted(size[order[at:]], size[order[at]] + 4, "right")))
+        yield order[at:to]
+        at = to
+
+
+def log_scores(lattice: Lattice, words: list[str]) -> np.ndarray:
+    """``Lattice.forward`` of each word; short ones many at once."""
+    out = np.zeros(len(words))
+    for i, w in enumerate(words):
+        if len(w) >= SHORT:
+            out[i] = lattice.forward(w)
+    for at in groups(words):
+        some = Lattices(lattice, [words[i] for i in at.tolist()])
+        out[at] = some.totals(some.forward())
+    return out
+
+
+def add_expected(lattice: Lattice, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
+    """``Lattice.expect`` of each word; short ones many at once."""
+    rest = [0.0] * len(into)
+    for w, c in zip(words, counts.tolist()):
+        if len(w) >= SHORT:
+            lattice.expect(w, float(c), rest)
+    into += rest
+    for at in groups(words):
+        Lattices(lattice, [words[i] for i in at.tolist()]).expect(counts[at].astype(float), into)
+
+
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of two kinds. word set: its training count in a batch, and packed row numbers and counts. word null: a row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -187,7 +307,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
         id_type: list[pa.DataType] = []
-        waiting = 0
+        waiting = waiting_bytes = 0
         for b in slices(batches, "text"):
             id_type[:] = [b.column("id").type]
             buf, offs = text_buffer(b.column("text"))
@@ -206,9 +326,10 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held = b.column("held").to_numpy(zero_copy_only=False)
             held_back.append((hashes, b.column("row").to_numpy()[row], ~held[row], words[back]))
             waiting += len(row)
-            if waiting >= BATCH_WORDS:
+            waiting_bytes += int((ends[first] - starts[first]).sum())
+            if waiting >= BATCH_WORDS or waiting_bytes >= BATCH_BYTES:
                 yield flush()
-                waiting = 0
+                waiting = waiting_bytes = 0
         if held_back:
             yield flush()
 
@@ -225,12 +346,11 @@ def train(counts: DataFrame, ends: int, folder: str = TOKENIZERS, rounds: int =
         shared = counts.sparkSession.sparkContext.broadcast((pieces, fallback, longest, weights))  # of the vocabulary's fixed size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
-            into, lattice = [0.0] * size, Lattice(*shared.value)
+            into, lattice = np.zeros(size), Lattice(*shared.value)
             for b in batches:
-                for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
-                    lattice.expect(word, float(c), into)
+                add_expected(lattice, b.column("word").to_pylist(), b.column("c").to_numpy(), into)
             some = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.array(into)[some])], ["piece", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(into[some])], ["piece", "uses"])
 
         summed = counts.mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # at most the vocabulary's size
         weights = np.full(size, PRIOR)
@@ -247,11 +367,12 @@ def lm_scores(docs: DataFrame, folder: str = TOKENIZERS, rounds: int = ROUNDS, i
     Null texts are empty: their only token is the end. A null id has checksum 0
     and so trains. Repeated rows train as often as they occur and each get a row.
     Without training rows the base score is 0 and the lattice keeps its starting
-    weights. Other columns are not read.
+    weights. Very long texts and words are scored whole. An empty table gives an
+    empty result. Other columns are not read.
     """
     packed = materialize(pack(docs, id_col, text_col), "packed")
     rows = packed.where("word is null").select("row", "id", "held", "n")
-    counts = materialize(packed.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counts = materialize(packed.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"), F.count("*").alias("m")), "counts")
     ends = rows.where("not held").count()
     seen, kinds = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = seen + ends, kinds + (ends > 0)
@@ -263,7 +384,7 @@ def lm_scores(docs: DataFrame, folder: str = TOKENIZERS, rounds: int = ROUNDS, i
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
         for b in batches:
-            logs = np.array([lattice.forward(w) for w in b.column("word").to_pylist()], float)
+            logs = log_scores(lattice, b.column("word").to_pylist())
             c = b.column("c").to_numpy()
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c > 0), pa.array(np.log10((c + 1) / floor)), pa.array(logs / math.log(10))], ["word", "known", "base", "lw"])
 
@@ -315,8 +436,13 @@ def lm_scores(docs: DataFrame, folder: str = TOKENIZERS, rounds: int = ROUNDS, i
         if parts:
             yield flush()
 
-    words = materialize(counts.mapInArrow(score, "word string, known boolean, base double, lw double"), "words")
-    joined = packed.where("word is not null").select("word", "rows", "tfs").join(words, "word")
+    # a word of nearly all documents has a packed row in nearly all batches: such words, few by their share, are not shuffled
+    all_rows = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("m") > max(HOT_SHARE * all_rows, 1)).select(F.col("word").alias("hot"))  # at most 1 / HOT_SHARE words
+    words = materialize(counts.select("word", "c").mapInArrow(score, "word string, known boolean, base double, lw double"), "words")
+    some = packed.where("word is not null").select("word", "rows", "tfs").join(F.broadcast(hot), F.col("word") == F.col("hot"), "left")
+    hot_words = words.join(F.broadcast(hot), F.col("word") == F.col("hot"), "left_semi")
+    joined = some.where("hot is null").drop("hot").join(words, "word").unionByName(some.where("hot is not null").drop("hot").join(F.broadcast(hot_words), "word"))
     sums = joined.select("rows", "tfs", "known", "base", "lw").mapInArrow(add, "block long, rows binary, known binary, base binary, lw binary")
     summed = sums.repartition("block").sortWithinPartitions("block").mapInArrow(settle, "row long, n_known long, base double, lw double")
     end_base, end_log = math.log10((ends + 1) / floor), end_weight / math.log(10)

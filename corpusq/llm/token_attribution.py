@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffer, text_or_empty, worker_cache
-from .fertility import PATTERN, TOKENIZERS
+from .fertility import PATTERN, TOKENIZERS, whole_pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RULES = ("first", "last", "most")
@@ -83,7 +83,9 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, rule: str = RULE, id
 
     An empty or null text has one section 0 of no characters and no tokens. The
     counts of a document sum to the tokens of its whole text. Rows repeated under
-    one id each give their own rows; other columns are not read.
+    one id each give their own rows; other columns are not read. Very long texts are
+    encoded whole, but for runs of ``RUN`` characters that are all white space or
+    none. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -99,7 +101,8 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, rule: str = RULE, id
                 if not len(raw):
                     out.append([np.array([x]) for x in (i, 0, 0, 0, 0, 0)])
                     continue
-                ends = np.cumsum(sizes[coder.encode_to_numpy(text, disallowed_special=())])
+                tokens = [coder.encode_to_numpy(x, disallowed_special=()) for x in whole_pieces(text)]
+                ends = np.cumsum(sizes[np.concatenate(tokens)])
                 if ends[-1] != len(raw):
                     raise ValueError("the tokens do not cover the text")
                 starts = line_starts(raw)

@@ -2,15 +2,17 @@
 
 Voters are lexicons and patterns. Some words are given; more words, and openings
 of words, are mined where labelled training rows use them unevenly. A voter that
-fires votes its side, or abstains. The label model treats the gold label as one
-more noisy voter and the true class as hidden: expectation maximisation estimates
-how often each voter fires in each class (its accuracy) and the covariance of
-voters within classes (their correlations), so voters that fire together are not
-counted twice. Its posteriors are the targets of a logistic classifier, which is
-all that scoring needs.
-
-Mining and fitting use a bounded sample: the ``fit_rows`` labelled training rows
-of least hashed id. Every row's whole text is scored.
+fires votes its side, or abstains. Labels choose voters and tell the toxic class's
+share; the label model itself sees none. It takes the true class as hidden, on
+labelled and unlabelled rows alike: expectation maximisation estimates how often
+each voter fires in each class (its accuracy) and the covariance of voters within
+classes (their correlations), so voters that fire together are not counted twice.
+Its posteriors are the targets of a logistic classifier over terms of the text,
+which is all that scoring needs.
+
+Mining and fitting use a bounded sample: the ``fit_rows`` labelled and the
+``free_rows`` unlabelled training rows of least hashed id. Every row's whole text
+is scored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from .common import checkpoint, slices, text_or_empty
 
 FOLDS, HELD = 5, 0
 FIT_ROWS = 16_000
+#: Unlabelled training rows that the label model and the classifier see too.
+FREE_ROWS = 8_000
+#: Frequent terms among the classifier's inputs.
+COMMON = 600
 #: Mined voters: at most so many on each side, each in so many sampled rows at least.
 MINED, LEAST_ROWS = 250, 5
 OPENINGS = (4, 5, 6, 7, 8)
@@ -58,22 +64,20 @@ def openings(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in OPENINGS if n < len(word))]
 
 
-class Voters:
-    """Tells which voters fire on a text: lexicons, then patterns, then mined terms."""
+class Terms:
+    """Tells which of some terms a text holds; ``lists`` may give a term several numbers."""
 
-    def __init__(self, mined: list[str]):
-        self.names = [*LEXICONS, *PATTERNS, *mined]
+    def __init__(self, terms: list[str], lists: tuple[str, ...] = ()):
         self.by_term: dict[str, list[int]] = {}
-        for i, words in enumerate(LEXICONS.values()):
+        for i, words in enumerate(lists):
             for w in words.split():
                 self.by_term.setdefault(w, []).append(i)
-        for i, term in enumerate(mined, len(LEXICONS) + len(PATTERNS)):
+        for i, term in enumerate(terms, len(lists)):
             self.by_term.setdefault(term, []).append(i)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def fire(self, text: str) -> set[int]:
-        """The voters that fire on a text."""
-        fired, known, by_term = set(), self.known, self.by_term
+    def held(self, text: str) -> set[int]:
+        found, known, by_term = set(), self.known, self.by_term
         for word in terms_of(text):
             hits = known.get(word)
             if hits is None:
@@ -82,20 +86,37 @@ class Voters:
                     known.clear()
                 known[word] = hits
             if hits:
-                fired.update(hits)
-        fired.update(i for i, pattern in enumerate(PATTERNS.values(), len(LEXICONS)) if pattern.search(text))
+                found.update(hits)
+        return found
+
+
+class Voters:
+    """Tells which voters fire on a text: lexicons, then patterns, then mined terms."""
+
+    def __init__(self, mined: list[str]):
+        n = len(LEXICONS)
+        self.terms = Terms(["", *[""] * (len(PATTERNS) - 1), *mined], tuple(LEXICONS.values()))
+        self.patterns = list(enumerate(PATTERNS.values(), n))
+
+    def fire(self, text: str) -> set[int]:
+        """The voters that fire on a text."""
+        fired = self.terms.held(text)
+        fired.update(i for i, pattern in self.patterns if pattern.search(text))
         return fired
 
 
-def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of the sampled rows. The ids are at most ``fit_rows`` and so may be broadcast."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
-    chosen = (
-        known.where(fold(F.col("_id")) != HELD).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-        .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(fit_rows)
-    )
-    chosen = checkpoint(chosen)
-    return checkpoint(docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(text_or_empty(text_col).alias("text"), F.col("_toxic").alias("toxic")))
+def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, free_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(text, toxic) of the sampled rows, toxic null where there is no label. Ids are bounded by both numbers and so may be broadcast."""
+    given = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
+    known = known.where(fold(F.col("id")) != HELD).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    least = lambda df, n: df.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(n)
+    chosen = checkpoint(least(known, fit_rows))
+    # an unlabelled row gets its chance by its id's hash; a top list of as many as there may be labelled ones, less those that are
+    free = given.select("id").where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD))
+    free = least(free.join(labels.select(F.col(id_col).alias("id")), "id", "left_anti").distinct(), free_rows).select("id", F.lit(None).cast("int").alias("toxic"))
+    chosen = checkpoint(chosen.union(free))
+    return checkpoint(given.join(F.broadcast(chosen), "id").select("text", "toxic"))
 
 
 def mine(rows: DataFrame, mined: int = MINED, least: int = LEAST_ROWS) -> list[tuple[str, int]]:
@@ -106,6 +127,8 @@ def mine(rows: DataFrame, mined: int = MINED, least: int = LEAST_ROWS) -> list[t
         n = [0, 0]
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                if toxic is None:
+                    continue
                 side = int(toxic > 0)
                 n[side] += 1
                 seen[side].update({t for w in terms_of(text) for t in openings(w)})
@@ -131,10 +154,20 @@ def mine(rows: DataFrame, mined: int = MINED, least: int = LEAST_ROWS) -> list[t
     return out
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 5) -> np.ndarray:
-    """Posteriors of the hidden class for rows of 0/1 ``votes``, gold labels being one more voter."""
-    x = np.c_[votes, gold].astype(np.float32)
-    post = np.where(gold > 0, 0.9, 0.1).astype(np.float32)
+def label_model(votes: np.ndarray, sides: np.ndarray, share: float, rounds: int = 8) -> np.ndarray:
+    """Posteriors of the hidden class for rows of 0/1 ``votes``; no label is seen.
+
+    ``sides`` (1 or -1 for each voter) tells which class is which, and ``share`` is
+    the toxic class's expected share: the rows with the most votes on its side, for
+    their number of votes, start there. Expectation maximisation then estimates how
+    often each voter fires in each class and the covariance of voters within classes.
+    """
+    x = votes.astype(np.float32)
+    # a voter that seldom fires tells more: votes start with the information that they carry
+    worth = sides * -np.log((x.sum(axis=0) + 1) / (len(x) + 2))
+    lean = x @ worth.astype(np.float32)
+    edge = np.quantile(lean, 1 - min(max(share, 1 / len(x)), 0.5))
+    post = np.where(lean > edge, 0.9, 0.1).astype(np.float32)
     for _ in range(rounds):
         rate, cov = [], np.zeros((x.shape[1], x.shape[1]))
         for p in (1 - post, post):
@@ -164,33 +197,41 @@ def fit_linear(inputs: np.ndarray, target: np.ndarray, decay: float = 1.0, round
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Mined terms and the classifier's weights. Without both labels in the training rows, given lexicons alone decide."""
-    rows = sample(docs, labels, fit_rows, id_col, text_col)
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", free_rows: int = FREE_ROWS) -> tuple[list[str], np.ndarray]:
+    """The classifier's terms and weights. Without both labels in the training rows, given insults alone decide."""
+    rows = sample(docs, labels, fit_rows, free_rows, id_col, text_col)
     mined = mine(rows)
-    terms = [t for t, _ in mined]
-    size = len(LEXICONS) + len(PATTERNS) + len(terms)
-    fallback = np.zeros(size + 1)
-    fallback[[i for i, name in enumerate(LEXICONS) if name.startswith("insults")]] = 4.0
-    fallback[-1] = -2.0
     if not mined:
-        return terms, fallback
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(terms)
+        terms = sorted({w for name, words in LEXICONS.items() if name.startswith("insults") for w in words.split()})
+        return terms, np.r_[np.full(len(terms), 4.0), -2.0]
+    sides = np.array([1] * (len(LEXICONS) + len(PATTERNS)) + [side for _, side in mined])
+    voting = [t for t, _ in mined]
+    # the classifier's inputs are terms of the text: the voters' own, and the most frequent ones, which no label chose
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
+    common = rows.select(words.alias("t")).where("t <> ''").groupBy("t").count().orderBy(F.desc("count"), "t").limit(COMMON).collect()  # at most COMMON
+    given = [w for listed in LEXICONS.values() for w in listed.split()]
+    terms = list(dict.fromkeys([*voting, *given, *(r.t for r in common)]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters, known = Voters(voting), Terms(terms)
         for b in batches:
-            fired = [sorted(voters.fire(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(fired, pa.list_(pa.int32()))], ["toxic", "fired"])
-
-    got = rows.mapInArrow(vote, "toxic int, fired array<int>").toArrow()  # at most fit_rows rows
-    gold = (np.array(got.column("toxic").to_pylist()) > 0).astype(np.float32)
-    votes = np.zeros((got.num_rows, size), np.float32)
-    for i, fired in enumerate(got.column("fired").to_pylist()):
-        votes[i, fired] = 1
-    weights = np.zeros(size + 1)
+            texts = b.column("text").to_pylist()
+            lists = [pa.array([sorted(x(t)) for t in texts], pa.list_(pa.int32())) for x in (voters.fire, known.held)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *lists], ["toxic", "fired", "held"])
+
+    got = rows.mapInArrow(read, "toxic int, fired array<int>, held array<int>").toArrow()  # at most fit_rows and free_rows
+    gold = [t > 0 for t in got.column("toxic").to_pylist() if t is not None]
+    votes = indicators(got.column("fired").to_pylist(), len(sides))
     used = np.flatnonzero(votes.any(axis=0))
-    weights[np.r_[used, size]] = fit_linear(votes[:, used], label_model(votes[:, used], gold))
-    return terms, weights
+    post = label_model(votes[:, used], sides[used], sum(gold) / len(gold))
+    return terms, fit_linear(indicators(got.column("held").to_pylist(), len(terms)), post)
+
+
+def indicators(lists: list[list[int]], size: int) -> np.ndarray:
+    out = np.zeros((len(lists), size), np.float32)
+    for i, places in enumerate(lists):
+        out[i, places] = 1
+    return out
 
 
 def score(docs: DataFrame, terms: list[str], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,11 +240,11 @@ def score(docs: DataFrame, terms: list[str], weights: np.ndarray, id_col: str =
     given = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters, w = Voters(terms), weights.tolist()
+        known, w = Terms(terms), weights.tolist()
         for b in slices(batches, "text"):
             logits = []
             for text in b.column("text").to_pylist():
-                logits.append(w[-1] + sum([w[i] for i in voters.fire(text)]))
+                logits.append(w[-1] + sum([w[i] for i in known.held(text)]))
             p = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p)], ["id", "score"])
 
@@ -215,7 +256,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
 
     Null texts are empty and get the classifier's constant. A null id is held out.
     Labels repeated for an id count once, toxic if any is; null labels and ids are
-    not used. Other columns, labels included, are never inputs.
+    not used. Other columns, labels included, are never inputs. Very long texts are
+    read whole, repeated rows each get a row, an empty table gives an empty result.
     """
     scored = score(docs, *fit(docs, labels, fit_rows, id_col, text_col), id_col, text_col)
     return scored.select(id_col, (fold(F.col(id_col)) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -230,11 +272,11 @@ def keep_civil(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_
     out = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters, w = Voters(terms), weights.tolist()
+        known, w = Terms(terms), weights.tolist()
         for b in slices(batches, text_col):
             keep = []
             for text in b.column(text_col).to_pylist():
-                keep.append(w[-1] + sum([w[i] for i in voters.fire(text or "")]) < 0)
+                keep.append(w[-1] + sum([w[i] for i in known.held(text or "")]) < 0)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return out.mapInArrow(run, out.schema)

@@ -59,3 +59,45 @@ def test_empty_table_and_repeats(spark):
     assert op.quality_rules(empty).count() == 0
     twice = spark.createDataFrame([(None, "a b c", "en")] * 2, "doc_id long, text string, lang string")
     assert op.quality_rules(twice).where(F.col("base_failed")).count() == 2
+
+
+def test_very_long_runs_and_clashing_columns(spark):
+    texts = ["\u00a0" * 2_000_000, " " * 2_000_000, "z" * 5_000_000, "word " * 500_000]
+    df = spark.createDataFrame([(i, t, "xx", 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, lang string, id int, q_entropy_gap int, reasons int")
+    got = {r.doc_id: r for r in op.quality_rules(df).collect()}
+    assert [got[i].n_words for i in range(4)] == [1, 0, 1, 500_000] and not any(r.kept for r in got.values())
+
+
+def test_verdicts_equal_plain_ones(spark):
+    """Entropy, bands and verdicts of a table against a version in plain Python."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    common = [word() for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.6 else word() for _ in range(rng.randint(12, 400))), rng.choice(["aa", None])) for i in range(120)]
+    rows += [(200, " ".join(chr(0x1200 + rng.randrange(80)) * 3 for _ in range(60)), "aa"), (201, " ".join(f"{word()}#{i}" for i in range(60)) + " \u2603" * 80, "aa"), (202, "tiny", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    coder = op.Encoder(op.TOKENIZERS)
+    measured = {}
+    for i, text, lang in rows:
+        n, chars, _, _, repeated, failed = plain(text)
+        ids = [t for w in WORD.findall(text) for t in coder.pieces.encode(w)]
+        n_bytes = sum(len(coder.bytes.encode_ordinary(" " + w)) for w in WORD.findall(text))
+        h = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values())
+        m = {"chars_per_token": chars / len(ids), "bytes_per_token": chars / n_bytes, "fallback_share": sum(bool(coder.fallback[t]) for t in ids) / len(ids), "entropy_gap": 1 - h / math.log2(len(ids)) if len(ids) > 1 else None}
+        measured[i] = lang or "", n, failed, m
+    want = {}
+    for i, (lang, n, failed, m) in measured.items():
+        reasons = []
+        for name, floor in op.FLOORS.items():
+            values = sorted(x[3][name] for x in measured.values() if x[0] == lang and not x[2] and x[3][name] is not None)
+            low, high = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.75))
+            width = max(op.REACH * (high - low), floor) * max(1.0, math.sqrt(op.STEADY_WORDS / max(n, 1)))
+            if m[name] is not None and (m[name] > high + width or (name not in ("fallback_share", "entropy_gap") and m[name] < low - width)):
+                reasons.append(name)
+        want[i] = (not failed and not reasons, reasons)
+    got = {r.doc_id: (r.kept, list(r.reasons)) for r in op.quality_rules(df).collect()}
+    assert got == want and len({k for k, _ in want.values()}) == 2

@@ -89,3 +89,46 @@ def test_scores_prefer_text_like_the_training_texts(spark, sf_dir):
     more = spark.createDataFrame([(-1, "".join(letters)), (-2, one.text)], "doc_id long, text string")
     got = {r.doc_id: r for r in op.lm_scores(docs.union(more)).collect()}
     assert got[-2].score / got[-2].n_tokens > got[-1].score / got[-1].n_tokens
+
+
+def test_many_words_at_once_equal_one_by_one(lattice):
+    model, _, _, p = lattice
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcéz\U0001f600", k=rng.randint(1, 75))) for _ in range(400)] + ["a", "a"]
+    counts = np.array([rng.randint(1, 9) for _ in words])
+    assert op.log_scores(model, words) == pytest.approx([model.forward(w) for w in words])
+    want, got = [0.0] * len(p), np.zeros(len(p))
+    for w, c in zip(words, counts.tolist()):
+        model.expect(w, float(c), want)
+    op.add_expected(model, words, counts, got)
+    assert got == pytest.approx(np.array(want), rel=1e-9, abs=1e-9)
+    assert len(op.log_scores(model, [])) == 0
+
+
+def test_scores_equal_a_plain_version(spark, sf_dir):
+    """Every text's score by word-by-word recursions with weights learned word by word."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = [(r.doc_id, WORD.findall(low(r.text)), zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in df.collect()]
+    counts = Counter(w for _, ws, held in docs if not held for w in ws)
+    pieces, fallback, longest = op.vocabulary()
+    size = len(pieces) + 257
+    weights = 1.0 / np.arange(1, size + 1)
+    weights[-1] = 0.01
+    for _ in range(op.ROUNDS):
+        model, into = op.Lattice(pieces, fallback, longest, weights), [0.0] * size
+        for w, c in counts.items():
+            model.expect(w, float(c), into)
+        weights = np.full(size, op.PRIOR) + into
+        weights[-1] += sum(not held for *_, held in docs)
+    model = op.Lattice(pieces, fallback, longest, weights)
+    want = {i: (sum(map(model.forward, ws)) + model.end) / math.log(10) for i, ws, _ in docs}
+    got = {r.doc_id: r.score for r in op.lm_scores(df).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_very_long_words_clashing_columns_and_batches_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op, "BATCH_BYTES", 1000)
+    texts = [" " * 2_000_000, " " * 200_000, "y" * 500_000, "word " * 200_000, "a b", "a b"]
+    df = spark.createDataFrame([(i, t, *[1] * 6) for i, t in enumerate(texts)], "doc_id long, text string, hot int, word int, m int, c int, held int, n int")
+    got = {r.doc_id: r for r in op.lm_scores(df).collect()}
+    assert [got[i].n_tokens for i in range(6)] == [1, 2, 2, 200_001, 3, 3] and got[4].score == got[5].score

@@ -53,3 +53,25 @@ def test_crossing_tokens_go_by_the_rule():
 def test_empty_table_and_repeats(spark):
     assert op.token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert op.token_counts(spark.createDataFrame([(None, "a\nb")] * 2, "doc_id long, text string")).count() == 4
+
+
+def test_cut_runs_give_the_same_tokens():
+    """Pieces cut at runs encode as the whole text does, wherever the runs are."""
+    coder, _ = op.load(op.TOKENIZERS)
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", " ", "\u00a0", "\n", "1", "!", "  ", " " * 12, "\t" * 9, "\u00a0" * 11]) for _ in range(30))
+        pieces = [x for x in op.whole_pieces(text, 10_000)]
+        assert pieces == [text]
+        for run in (8, 40):
+            pieces = list(op.whole_pieces(text, run))
+            assert "".join(pieces) == text
+    text = "one" + " " * 90 + "two"
+    assert [t for x in op.whole_pieces(text, 89) for t in coder.encode_ordinary(x)] == coder.encode_ordinary(text)
+
+
+def test_very_long_runs_and_clashing_columns(spark):
+    texts = [" " * 2_000_000 + "x", "\u00a0" * 2_000_000, "y" * 5_000_000, "word " * 1_000_000]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, id int, section int, n_tokens int")
+    rows = op.token_counts(df).collect()
+    assert [(r.start, r.end) for r in sorted(rows, key=lambda r: r.doc_id)] == [(0, len(t)) for t in texts] and all(r.n_tokens > 0 for r in rows)
