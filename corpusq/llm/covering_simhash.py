@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEP, checkpoint, materialize, slices, text_buffer, text_or_empty, word_spans
-from .graph import connected_components
+from .common import LOWER, SEP, broadcast_if_small, checkpoint, discard, materialize, mix, powers, slices, span_hashes, text_buffer, text_or_empty, word_spans
+from .graph import block_groups, connected_components
 
 BITS = 64
 RADIUS = 3
@@ -220,21 +220,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each group, that of the least id and then of the least text hash; all columns stay.
+#: The filter's shingles, similarity and fingerprints: SimHash of three least hashes, one from each of three bins.
+WORDS, SIMILARITY, BLOCKS = 5, 0.8, 5
+#: What stands for an empty bin.
+EMPTY = mix(np.arange(1, 3 * BLOCKS + 1, dtype=np.uint64))
 
-    A null id stays only where all ids of its group are null. Empty texts are one
-    group and so leave one row. Rows repeated under one id with one text are cut to
-    one; unlike texts under one id, or under none, are groups of their own.
+
+def shingle_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each row's lower-cased words in order; then rows and hashes of its distinct shingles, in order of both.
+
+    A row of fewer words than ``size`` has one shingle, its whole sequence; one of no words has hash zero and none.
+    """
+    buf, offs = text_buffer(column)
+    starts, ends, row = word_spans(buf, offs)
+    rows = len(offs) - 1
+    whole = np.zeros(rows, np.uint64)
+    if not len(row):
+        return whole, row, np.zeros(0, np.uint64)
+    words = span_hashes(LOWER[buf], starts, ends)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    count = np.diff(np.r_[first, len(row)])
+    place = np.arange(len(row)) - np.repeat(first, count)
+    base = powers(np.uint64(0xD6E8FEB86659FD93), int(count.max()) + 1)
+    whole[row[first]] = mix(np.add.reduceat(words * base[place], first) + base[count]) | np.uint64(1)
+    full = np.flatnonzero(place + size <= np.repeat(count, count))
+    grams = sum(words[full + k] * base[:size][k] for k in range(size)) if len(full) else np.zeros(0, np.uint64)
+    short = row[first[count < size]]
+    of, grams = np.r_[row[full], short], np.r_[mix(np.asarray(grams, np.uint64)), whole[short]]
+    order = np.lexsort((grams, of))
+    of, grams = of[order], grams[order]
+    new = np.r_[True, (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])]
+    return whole, of[new], grams[new]
+
+
+def block_prints(rows: int, of: np.ndarray, grams: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of each row's blocks, and whether a block holds anything. Shingles are dealt to bins by hash."""
+    bins = 3 * blocks
+    least = np.tile(EMPTY, (rows, 1))
+    held = np.zeros((rows, bins), bool)
+    if len(of):
+        cell = of * bins + (mix(grams) % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")  # hashes of a row are in order, so the first of a cell is its least
+        cell = cell[order]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        least.reshape(-1)[cell[first]] = grams[order[first]]
+        held.reshape(-1)[cell[first]] = True
+    a, b, c = (least[:, k::3] for k in range(3))
+    # a block's number makes equal hashes of different blocks differ
+    return ((a & b) | (b & c) | (a & c)) ^ EMPTY[:blocks], held.reshape(rows, blocks, 3).any(axis=2)
+
+
+def _alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those pairs (a, b) of word sequences whose shingle sets have the Jaccard similarity."""
+    pairs = materialize(pairs, "near-pairs")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "near-asked")
+    one = materialize(prints.join(broadcast_if_small(asked), "h").groupBy("h").agg(F.min("key").alias("key")), "near-places")
+    keyed = docs.join(broadcast_if_small(one, 48), docs["key"].eqNullSafe(one["key"])).select("text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            whole, of, grams = shingle_sets(b.column("text"), size)
+            cut = np.searchsorted(of, np.arange(b.num_rows + 1)) * 8
+            raw = grams.astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([raw[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())], ["h", "grams"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = materialize(keyed.mapInArrow(sets, "h long, grams binary").groupBy("h").agg(F.first("grams").alias("grams")), "near-sets")
+    both = pairs.join(found.select(F.col("h").alias("a"), F.col("grams").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("grams").alias("y")), "b")
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "near-links")
+    discard(pairs, asked, one, found)
+    return links
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, that of the least id and then of the least text hash; all columns stay.
+
+    Texts are linked if their sets of ``size``-word shingles have a Jaccard similarity
+    of ``similarity`` or more. A fingerprint within three bits reaches few of those, and
+    a radius that reaches them would need thousands of covering tables; so a text has
+    five SimHash fingerprints here, each of three shingles drawn by least hash, that meet
+    where they are equal (0.97 of the pairs at 0.8, more above), and sets are compared.
+
+    A null id stays only where all ids of its group are null. Null and empty texts are
+    one group and so leave one row. Rows repeated under one id with one text are cut to
+    one; unlike texts under one id, or under none, are groups of their own. Very long
+    texts are compared whole. An empty table gives an empty result.
     """
     hashed = F.xxhash64(docs[text_col].cast("string"))
     key = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), hashed.alias("th"))
-    prints = materialize(fingerprints(docs.select(key.alias("key"), docs[text_col].alias("text")), "key", "text", size), "prints")
-    _, least = _grouped(prints, radius)
-    kept = materialize(least.select("component_id", F.col("component_id.id").alias("_id"), F.col("component_id.th").alias("_th")), "kept")
-    left = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (hashed == kept["_th"]), "left_semi")
-    rows = prints.join(kept, prints["id"] == kept["component_id"], "left_semi").groupBy("id").agg(F.count("*").alias("n"))
-    if rows.where("n > 1").head(1):
+    given = docs.select(key.alias("key"), text_or_empty(text_col).alias("text"))
+    keys = [f"k{k}" for k in range(BLOCKS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            whole, of, grams = shingle_sets(b.column("text"), size)
+            found, held = block_prints(b.num_rows, of, grams)
+            n = np.bincount(of, minlength=b.num_rows)
+            columns = [pa.array(found[:, k].copy().view(np.int64), mask=~held[:, k]) for k in range(BLOCKS)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), *columns], ["key", "h", "n", *keys])
+
+    kind = given.schema["key"].dataType.simpleString()
+    prints = materialize(given.mapInArrow(run, f"key {kind}, h long, n long, {', '.join(f'{k} long' for k in keys)}"), "near-prints")
+    nodes = materialize(prints.where("n > 0").groupBy("h").agg(*[F.max(c).alias(c) for c in ("n", *keys)]), "near-nodes")
+    groups = materialize(block_groups(nodes, keys, similarity, lambda pairs: _alike(pairs, prints, given, similarity, size)), "near-groups")
+    rooted = materialize(prints.join(broadcast_if_small(groups), "h", "left").select("key", F.coalesce("root", "h").alias("root")), "near-roots")
+    least = rooted.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("m")).where("m > 1").select("root", "least")
+    placed = materialize(rooted.join(broadcast_if_small(materialize(least, "near-least"), 64), "root"), "near-placed")
+    gone = materialize(placed.where("key <> least").select(F.col("key.id").alias("_id"), F.col("key.th").alias("_th")).distinct(), "near-gone")
+    left = docs.join(broadcast_if_small(gone, 48), docs[id_col].eqNullSafe(gone["_id"]) & (hashed == gone["_th"]), "left_anti")
+    again = placed.where("key = least").groupBy("key").count().where("count > 1")
+    discard(nodes, groups, rooted)
+    if again.head(1):
         mark = "_th"
         while mark in docs.columns:
             mark += "_"

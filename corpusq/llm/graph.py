@@ -1,11 +1,14 @@
-"""Connected components of a distributed edge table."""
+"""Connected components of a distributed edge table, and of items that share blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import broadcast_if_small, checkpoint, discard, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -45,3 +48,51 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def most_apart(n: Column, m: Column, similarity: float) -> Column:
+    """By how much items of these sizes may differ."""
+    return F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)
+
+
+def block_groups(nodes: DataFrame, keys: list[str], similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(h, root) for every item of ``nodes(h, n, *keys)``, one row an item, that is linked with another.
+
+    Items are linked if they share a key, their sizes n allow the similarity, and
+    ``verified``, which returns a written table, keeps their pair (a, b). In each bucket
+    all items are first compared with its leader, which joins thousands of like items at
+    a linear cost. Then only items outside their leader's group are compared, within
+    classes of size that a link can span, with the items of other groups in the
+    bucket. Items of one group need no comparison, and of two items in different groups
+    one is outside the leader's, so groups come out as if all pairs had been compared.
+    """
+    index = nodes.select("h", "n", F.explode(F.array_distinct(F.array(*keys))).alias("key")).where("key is not null")
+    shared = index.groupBy("key").agg(F.count("*").alias("m"), F.min("h").alias("lead"), F.min_by("n", "h").alias("lead_n")).where("m > 1")
+    shared = materialize(shared.select("key", "lead", "lead_n"), "block-buckets")
+    members = materialize(index.join(broadcast_if_small(shared, 32), "key"), "block-members")
+    discard(shared)
+    close = lambda n, m: F.abs(F.col(n) - F.col(m)) <= most_apart(F.col(n), F.col(m), similarity)
+    links = verified(members.where((F.col("h") != F.col("lead")) & close("n", "lead_n")).select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct())
+    parts = materialize(connected_components(links), "block-parts")
+    named = broadcast_if_small(parts)
+    of = lambda name, part: named.select(F.col("node").alias(name), F.col("root").alias(part))
+    placed = members.join(of("h", "p"), "h", "left").join(of("lead", "q"), "lead", "left")
+    # sizes that a link can span are in one class or in neighbouring ones
+    size = F.floor(F.log("n") / -math.log(similarity)).cast("int")
+    placed = placed.select("key", "h", "n", (F.col("h") == F.col("lead")).alias("leads"), F.coalesce("p", "h").alias("part"), F.coalesce("q", "lead").alias("main"), size.alias("class"))
+    placed = materialize(placed, "block-placed")
+    discard(members)
+    outside = placed.where("part <> main").select("key", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"), F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("part").alias("part1"))
+    outside = materialize(outside, "block-outside")
+    across = placed.where("not leads").join(broadcast_if_small(outside, 48), ["key", "class"]).where((F.col("part") != F.col("part1")) & close("n", "n1"))
+    more = verified(across.select(F.least("h", "h1").alias("a"), F.greatest("h", "h1").alias("b")).distinct())
+    discard(placed, outside)
+    if not more.head(1):
+        return parts.withColumnRenamed("node", "h")
+    # groups found so far stand for their items
+    of = lambda name: parts.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    moved = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    merged = materialize(connected_components(moved), "block-merged").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = parts.join(merged, "root", "left").select(F.col("node").alias("h"), F.coalesce("top", "root").alias("root"))
+    fresh = merged.join(parts, merged["root"] == parts["node"], "left_anti").select(F.col("root").alias("h"), F.col("top").alias("root"))
+    return known.union(fresh)

@@ -46,7 +46,7 @@ def test_toxic_documents_go(steps, spark, sf_dir):
 def test_lines_equal_brute_force(steps, spark):
     before, after = steps[1]
     rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
-    want = lines.plain(spark, rows)
+    want = lines.plain(rows)
     texts = dict(rows)
     assert {(r.doc_id, r.text) for r in after.collect()} == {(i, t) for i, t in want.items() if t.strip(" \t\n\v\f\r") or t == texts[i]}
 
@@ -54,7 +54,7 @@ def test_lines_equal_brute_force(steps, spark):
 def test_one_of_each_group_stays(steps):
     before, after = steps[2]
     rows = sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
-    assert ids(after) == {rows[c][0] for c in near.plain_components([near.plain_fingerprint(t) for _, t in rows])}
+    assert ids(after) == near.kept_by_brute_force(rows)
 
 
 def test_leaking_documents_go(steps, spark, sf_dir):
