@@ -98,12 +98,24 @@ def tok_index_tf(spark, sf_dir):
     return doc_postings(spark, sf_dir).select("token", "doc_id", "tf")
 
 
-@query(f"""WITH w AS (SELECT doc_id, {WORDS.format("text")}[1] AS w FROM documents)
-SELECT doc_id, w || doc_id || ' ' || w || '2' AS aliases FROM w WHERE w IS NOT NULL""")
+@query(f"""SELECT doc_id, array_to_string(list_concat(list_transform({WORDS.format("text")}, lambda w: w || doc_id), list_transform({WORDS.format("text")}, lambda w: w || '2')), ' ') AS aliases
+FROM documents""")
 def tok_script_alias(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.get(text.index_tokens("text"), F.lit(0)).alias("w")).where("w is not null")
-    noted = F.concat(F.lit("x <b>"), F.col("w"), F.lit("</b> "), F.col("w"), F.lit("<SUP>2)</SUP> "), F.col("w"), F.lit("_{"), F.col("doc_id"), F.lit("}"))
-    return w.select("doc_id", F.array_join(text.script_aliases(noted), " ").alias("aliases"))
+    noted = lambda w: F.concat(F.lit("x <b>"), w, F.lit("</b> "), w, F.lit("<SUP>2)</SUP> "), w, F.lit("_{"), F.col("doc_id"), F.lit("}"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(text.index_tokens("text"), noted), " ").alias("noted"))
+    return d.select("doc_id", F.array_join(text.script_aliases("noted"), " ").alias("aliases"))
+
+
+HANGUL = "가나다라마바사아자차카타파하"
+
+
+@query(f"""WITH h AS (SELECT doc_id, lang, substr('{HANGUL}', CAST(doc_id % 12 + 1 AS BIGINT), 3) AS w FROM documents)
+SELECT doc_id, array_to_string([w, substr(w, 1, 2), substr(w, 2, 2), w, substr(w, 1, 2), substr(w, 1, 2), 'x', lang, w || doc_id], ' ') AS tokens FROM h""")
+def tok_hangul(spark, sf_dir):
+    """An all-Hangul word, one of two syllables (its own 2-gram), single characters of both kinds, a mixed word."""
+    w = F.substring(F.lit(HANGUL), (F.col("doc_id") % 12 + 1).cast("int"), F.lit(3))
+    said = F.concat_ws(" ", w, F.substring(w, 1, 2), F.substring(w, 1, 1), F.lit("X"), F.col("lang"), F.concat(w, F.col("doc_id")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.index_tokens(said), " ").alias("tokens"))
 
 
 @query(f"WITH {POSTINGS} SELECT token, count(*) AS df FROM p GROUP BY token")
@@ -131,6 +143,40 @@ def chunk_structured(spark, sf_dir):
     return got.select("doc_id", "idx", "text", "article_id", F.array_join("heading_path", " > ").alias("path"))
 
 
+@query("""WITH c AS (SELECT doc_id, source, lang, unnest(range(6)) AS i FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS idx,
+  CASE i WHEN 0 THEN '# 규정 ' || doc_id WHEN 1 THEN '## 제1장 총칙' WHEN 2 THEN '제1조(목적) ' || source || ' ' || lang
+    WHEN 3 THEN '| 이름 | 값 |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || lang || ' |'
+    WHEN 4 THEN '제2조(정의) 제9조(다른 것)에 따라 ' || doc_id ELSE '```math' || chr(10) || doc_id || chr(10) || '```' END AS text,
+  CASE WHEN i < 2 THEN '' WHEN i < 4 THEN '제1조' ELSE '제2조' END AS article_id,
+  '규정 ' || doc_id || CASE WHEN i > 0 THEN ' > 제1장 총칙' ELSE '' END || CASE WHEN i < 2 THEN '' WHEN i < 4 THEN ' > 제1조(목적)' ELSE ' > 제2조(정의)' END AS path
+FROM c""")
+def chunk_articles(spark, sf_dir):
+    """Title, chapter, articles, a citation that opens no article, a Markdown table and a fence; headings run on."""
+    parts = [
+        F.concat(F.lit("# 규정 "), F.col("doc_id"), F.lit("\n## 제1장 총칙\n제1조(목적) "), F.col("source"), F.lit(" "), F.col("lang")),
+        F.concat(F.lit("| 이름 | 값 |\n|---|---|\n| "), F.col("source"), F.lit(" | "), F.col("lang"), F.lit(" |")),
+        F.concat(F.lit("제2조(정의) 제9조(다른 것)에 따라 "), F.col("doc_id")),
+        F.concat(F.lit("```math\n"), F.col("doc_id"), F.lit("\n```\n")),
+    ]
+    got = chunker.chunks(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n\n", *parts).alias("text")))
+    return got.select("doc_id", "idx", "text", "article_id", F.array_join("heading_path", " > ").alias("path"))
+
+
+@query("""WITH r AS (SELECT doc_id, unnest([source, lang, CAST(doc_id AS VARCHAR)]) AS x, unnest(range(3)) AS i FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS idx, '<table>' || chr(10) || '<tr><th>h</th></tr>' || chr(10) || '<tr><td>' || x || '</td></tr>' || chr(10) || '</table>' AS text FROM r
+UNION ALL
+SELECT doc_id, CAST(i + 3 AS INTEGER), '| 이름 | 값 |' || chr(10) || '|---|---|' || chr(10) || '| ' || x || ' | row ' || i || ' |' FROM r""")
+def chunk_table_rows(spark, sf_dir):
+    """Rows of an HTML and of a Markdown table, packed whole under a limit that takes one at a time; heads are repeated."""
+    cells = ["source", "lang", F.col("doc_id").cast("string")]
+    html = F.concat(F.lit("<table>\n<tr><th>h</th></tr>\n"), *[F.concat(F.lit("<tr><td>"), c if not isinstance(c, str) else F.col(c), F.lit("</td></tr>\n")) for c in cells], F.lit("</table>"))
+    rows = [F.concat(F.lit("| "), c if not isinstance(c, str) else F.col(c), F.lit(f" | row {i} |")) for i, c in enumerate(cells)]
+    joined = F.concat(html, F.lit("\n\n| 이름 | 값 |\n|---|---|\n"), F.concat_ws("\n", *rows))
+    got = chunker.chunks(table(spark, sf_dir, "documents").select("doc_id", joined.alias("text")), 45)
+    return got.select("doc_id", "idx", "text")
+
+
 # --- retrieval ---
 
 
@@ -378,11 +424,10 @@ def attachment_quality_notice(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(n.isNotNull(), F.concat_ws(":", n["code"], n["searchable"])).alias("notice"))
 
 
-@query("""SELECT doc_id, substr(text, 1, 20) || ' alt ' || doc_id || ' and ' AS search FROM documents WHERE NOT contains(substr(text, 1, 20), '![')""")
+@query("SELECT doc_id, regexp_replace(text, '" + assets.IMAGE.replace("'", "''") + r"', '\1', 'g') || ' alt ' || doc_id || ' and ' AS search FROM documents")
 def asset_search_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.contains(F.substring("text", 1, 20), F.lit("![")))
-    marked = F.concat(F.substring("text", 1, 20), F.lit(" ![alt "), F.col("doc_id"), F.lit("](images/a.png) and ![](x)"))
-    return d.select("doc_id", assets.without_images(marked).alias("search"))
+    marked = F.concat("text", F.lit(" ![alt "), F.col("doc_id"), F.lit("](images/a.png) and ![](x)"))
+    return table(spark, sf_dir, "documents").select("doc_id", assets.without_images(marked).alias("search"))
 
 
 @query(f"""WITH {CORPUS}, a AS (SELECT doc_id, trim(lower(title)) AS t FROM corpus), b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[/\\\\ _.:]', '-', 'g'), '[^0-9a-z가-힣-]', '', 'g'), '-+', '-', 'g') AS t FROM a)
@@ -427,11 +472,13 @@ def language_and_uri(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", text.stored_language("language").alias("language"), text.uri("document_type", "id").alias("uri"))
 
 
-@query("""SELECT doc_id, doc_id % 4 NOT IN (1, 2) AS ok FROM documents""")
+DATED = "CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 7 = 0 THEN '20' || doc_id % 29 || '-' || (doc_id % 14) || '-' || (doc_id % 33) ELSE '20' || lpad(CAST(doc_id % 29 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {DATED} AS day FROM documents)
+SELECT doc_id, day = '' OR (length(day) = 10 AND try_cast(day AS DATE) IS NOT NULL) AS ok FROM d""")
 def iso_date(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    d = F.when(k == 0, "2024-02-29").when(k == 1, "2023-02-29").when(k == 2, "2024-2-9").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_iso_date(d).alias("ok"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_iso_date(F.expr(DATED.replace("AS VARCHAR", "AS STRING"))).alias("ok"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS first FROM documents")
@@ -497,10 +544,15 @@ def effective_fallbacks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(entities.quality_codes(codes, flags), ",").alias("codes"), entities.attachment_searchable(F.lit(None).cast("boolean"), F.lit(""), status).alias("searchable"))
 
 
-@query("SELECT (SELECT count(*) FROM documents) = 0 AS equal")
+@query("""WITH d AS (SELECT doc_id, source FROM documents), x AS (SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN 'x' ELSE source END AS source FROM documents)
+SELECT 'changed' AS which, NOT EXISTS (FROM d EXCEPT ALL FROM x) AND NOT EXISTS (FROM x EXCEPT ALL FROM d) AS equal
+UNION ALL SELECT 'doubled', NOT EXISTS (FROM d EXCEPT ALL (FROM d UNION ALL FROM d)) AND NOT EXISTS ((FROM d UNION ALL FROM d) EXCEPT ALL FROM d)
+UNION ALL SELECT 'shuffled', NOT EXISTS (FROM d EXCEPT ALL (FROM d ORDER BY source)) AND NOT EXISTS ((FROM d ORDER BY source) EXCEPT ALL FROM d)""")
 def snapshot_documents_equal(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return quality.same_documents(d, d.withColumn("source", F.lit("x")), ["doc_id", "source"])
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    others = {"changed": d.withColumn("source", F.when(F.col("doc_id") % 100 == 1, "x").otherwise(F.col("source"))), "doubled": d.union(d), "shuffled": d.repartition("source")}
+    found = [quality.same_documents(d, other, ["doc_id", "source"]).select(F.lit(name).alias("which"), "equal") for name, other in others.items()]
+    return found[0].union(found[1]).union(found[2])
 
 
 # --- evaluation and logs ---
@@ -523,12 +575,11 @@ SELECT (SELECT count(DISTINCT item_id) FROM rel) AS cases, (SELECT count(*) FROM
 def recall_at_k(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     b = table(spark, sf_dir, "benchmark")
-    # items are a small query set; containment has no key, so they are broadcast
-    rel = d.join(F.broadcast(b.select("item_id", F.col("text").alias("item"))), F.contains(F.col("text"), F.col("item"))).select(F.col("item_id").alias("query_id"), "doc_id")
-    asked = b.join(F.broadcast(rel.select(F.col("query_id").alias("item_id")).distinct()), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.explode(text.tokens("text")).alias("token"))
+    rel = evaluation.containing(d, b.select("item_id", F.col("text").alias("item"))).select(F.col("item_id").alias("query_id"), "doc_id")
+    asked = b.join(rel.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.explode(text.tokens("text")).alias("token"))
     p = doc_postings(spark, sf_dir)
-    p = p.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
-    parts = p.join(frequencies(p), "token").join(F.broadcast(statistics(d, "text"))).join(F.broadcast(asked), "token")
+    p = p.join(asked.select("token").distinct(), "token", "left_semi")
+    parts = p.join(frequencies(p), "token").join(F.broadcast(statistics(d, "text"))).join(asked, "token")
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("n_tokens") / F.col("avg_len")))
     s = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -38,6 +38,27 @@ def select_chunks(postings: DataFrame, queries: list[str], per_query: int, limit
     return postings.sparkSession.createDataFrame(rows, "chunk_id string, ord long, query int")
 
 
+def containing(docs: DataFrame, items: DataFrame, seed: int = 3) -> DataFrame:
+    """(item_id, doc_id) where a text of ``docs(doc_id, text)`` contains an ``items(item_id, item)`` whole.
+
+    The inner words of an item stand between blanks in every text that holds it, so
+    its words from the second on are a seed; texts join on their runs of words, and only
+    what shares a seed is searched. Items of too few words for a seed are searched in all
+    texts, as containment has no key then.
+    """
+    words = F.split("item", " ")
+    long = F.size(words) >= seed + 2
+    key = lambda w, at: F.xxhash64(*[F.element_at(w, at + k) for k in range(seed)])
+    seeded = items.where(long).select("item_id", "item", key(words, 2).alias("seed"))
+    split = docs.select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= seed)
+    runs = split.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (seed - 1)), lambda i: key(F.col("w"), i)))).alias("seed"))
+    met = runs.join(seeded.select("item_id", "seed"), "seed").select("item_id", "doc_id")
+    found = met.join(docs, "doc_id").join(seeded.select("item_id", "item"), "item_id")
+    rest = docs.join(items.where(~long), F.contains("text", "item"))
+    both = [x.where(F.contains("text", "item")).select("item_id", "doc_id") for x in (found, rest)]
+    return both[0].union(both[1])
+
+
 def recall_at(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row: cases, hits, recall. ``results(query_id, doc_id, rank)``, ``relevant(query_id, doc_id)``; queries without relevant documents do not count."""
     hit = relevant.join(results.where(F.col("rank") <= k), ["query_id", "doc_id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))
