@@ -36,8 +36,8 @@ ROUNDS = 2
 PRIOR = 0.05
 #: Words of text whose occurrences are packed together.
 BATCH_WORDS = 2_200_000
-#: Bytes of distinct words that wait to be packed at most, beside those of one document.
-BATCH_BYTES = 16 << 20
+#: Bytes of text that wait to be packed at most, beside those of one document.
+BATCH_BYTES = 24 << 20
 #: A word with more than this share of all packed rows is hot; there can be no more hot words than its inverse.
 HOT_SHARE = 0.001
 #: Words of up to this many characters are scored many at once.
@@ -288,7 +288,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         held_back: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            hashes, row, train, words = (np.concatenate(x) for x in zip(*[(h, r, t, w) for h, r, t, w in held_back]))
+            hashes, row, train, begin, stop = (np.concatenate([x[k] for x in held_back]) for k in range(5))
+            source, raws = np.repeat(np.arange(len(held_back)), [len(x[0]) for x in held_back]), [x[5] for x in held_back]
             order = np.argsort(hashes, kind="stable")
             h, r = hashes[order], row[order]
             new = np.r_[True, h[1:] != h[:-1]]
@@ -299,7 +300,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows, tfs = r[cut].astype("<i8").tobytes(), tf.astype("<i8").tobytes()
             c = np.add.reduceat(np.where(train[order][cut], tf, 0), first)
             spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
-            word = pa.array(words[order[cut[first]]].tolist(), pa.binary()).cast(pa.string())
+            one = order[cut[first]]
+            word = pa.array([raws[k][a:b] for k, a, b in zip(source[one].tolist(), begin[one].tolist(), stop[one].tolist())], pa.binary()).cast(pa.string())
             held_back.clear()
             n = len(spans)
             return pa.RecordBatch.from_arrays(
@@ -318,15 +320,11 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.int64()), none, none, b.column("row"), b.column("id"), b.column("held"), pa.array(n)], names)
             if not len(row):
                 continue
-            hashes, raw = span_hashes(buf, starts, ends), buf.tobytes()
-            distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            s, e = starts[first].tolist(), ends[first].tolist()
-            words = np.empty(len(distinct), object)
-            words[:] = [raw[x:y] for x, y in zip(s, e)]
             held = b.column("held").to_numpy(zero_copy_only=False)
-            held_back.append((hashes, b.column("row").to_numpy()[row], ~held[row], words[back]))
+            raw = buf.tobytes()
+            held_back.append((span_hashes(buf, starts, ends), b.column("row").to_numpy()[row], ~held[row], starts.astype(np.int32), ends.astype(np.int32), raw))
             waiting += len(row)
-            waiting_bytes += int((ends[first] - starts[first]).sum())
+            waiting_bytes += len(raw)
             if waiting >= BATCH_WORDS or waiting_bytes >= BATCH_BYTES:
                 yield flush()
                 waiting = waiting_bytes = 0
