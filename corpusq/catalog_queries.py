@@ -620,6 +620,8 @@ def publish_roundtrip(spark, sf_dir):
     from .operators.index import Index
 
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not os.path.isdir(shared) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder that the driver sees")
     root = tempfile.mkdtemp(prefix="corpusq-generation-", dir=shared if os.path.isdir(shared) else None)
     chunks = window_chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "ord", "idx", "text", F.lit("body").alias("source"), *[F.lit("").alias(c) for c in ("attachment_id", "attachment_title", "attachment_file", "attachment_status", "article_id")], F.array().cast("array<string>").alias("heading_path"))
     docs = corpus(spark, sf_dir).drop("doc_id")
