@@ -1,8 +1,8 @@
 """Token counts by offset-mapped attribution: whole documents are encoded once, tokens fall to sections.
 
 A byte-level vocabulary loses no byte, so the running sum of its tokens' lengths
-gives every token's span in the document. Sections are the lines of the text, or
-any spans that cover it in order. Token spans and section spans are joined as
+gives every token's span in the document. Sections are the lines of the text, or the
+fields that make up the document, in order. Token spans and section spans are joined as
 intervals, both in order, inside one document. A token that crosses a boundary
 goes by an explicit rule:
 
@@ -78,9 +78,12 @@ def attribute(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, rule: str)
     return np.bincount(to, minlength=len(starts)), np.bincount(to[crossing], minlength=len(starts))
 
 
-def token_counts(docs: DataFrame, folder: str = TOKENIZERS, rule: str = RULE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, folder: str = TOKENIZERS, rule: str = RULE, id_col: str = "doc_id", text_col: str = "text", fields: tuple[str, ...] = ()) -> DataFrame:
     """(id, section, start, end, n_tokens, n_crossing) for every line of every row; start and end in characters.
 
+    With ``fields`` (columns), the document is their texts one after another and sections
+    are the fields, numbered from 0; a null field is empty and gets no token.
+
     An empty or null text has one section 0 of no characters and no tokens. The
     counts of a document sum to the tokens of its whole text. Rows repeated under
     one id each give their own rows; other columns are not read. Very long texts are
@@ -88,7 +91,9 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, rule: str = RULE, id
     none. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    parts = [text_or_empty(f"`{c}`") for c in fields]
+    sized = F.array(*[F.octet_length(p) for p in parts]) if fields else F.array().cast("array<int>")
+    given = docs.select(F.col(id_col).alias("id"), (F.concat(*parts) if fields else text_or_empty(text_col)).alias("text"), sized.alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sizes = load(folder)
@@ -99,13 +104,14 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, rule: str = RULE, id
             for i, text in enumerate(texts):
                 raw = buf[offs[i] : offs[i + 1]]
                 if not len(raw):
-                    out.append([np.array([x]) for x in (i, 0, 0, 0, 0, 0)])
+                    none = np.zeros(max(1, len(fields)), np.int64)
+                    out.append([none + i, np.arange(len(none)), none, none, none, none])
                     continue
                 tokens = [coder.encode_to_numpy(x, disallowed_special=()) for x in whole_pieces(text)]
                 ends = np.cumsum(sizes[np.concatenate(tokens)])
                 if ends[-1] != len(raw):
                     raise ValueError("the tokens do not cover the text")
-                starts = line_starts(raw)
+                starts = np.r_[0, np.cumsum(b.column("sizes")[i].as_py())[:-1]] if fields else line_starts(raw)
                 counts, crossing = attribute(raw, ends, starts, rule)
                 lead = np.zeros(len(raw) + 1, np.int64)
                 np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])

@@ -75,3 +75,28 @@ def test_very_long_runs_and_clashing_columns(spark):
     df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, id int, section int, n_tokens int")
     rows = op.token_counts(df).collect()
     assert [(r.start, r.end) for r in sorted(rows, key=lambda r: r.doc_id)] == [(0, len(t)) for t in texts] and all(r.n_tokens > 0 for r in rows)
+
+
+@pytest.mark.parametrize("rule", op.RULES)
+def test_fields_equal_plain_counts(spark, rule):
+    """Fields are sections of one document; tokens across them go by the rule, none to empty ones."""
+    rng = random.Random(12)
+    part = lambda: rng.choice([None, "", "".join(rng.choices("ab é\U0001f600", k=rng.randint(1, 9)))])
+    rows = [(i, part(), part(), part()) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string, sizes string")
+    got = {}
+    for r in op.token_counts(df, rule=rule, fields=("title", "body", "sizes")).orderBy("doc_id", "section").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    coder, sizes = op.load(op.TOKENIZERS)
+    for i, *fields in rows:
+        owner, place = [], []
+        for f, text in enumerate(fields):
+            for c in text or "":
+                owner.append(f)
+                place += [len(owner) - 1] * len(c.encode())
+        counts, at = [0, 0, 0], 0
+        for t in coder.encode_ordinary("".join(x or "" for x in fields)):
+            own = [owner[c] for c in dict.fromkeys(place[at : at + sizes[t]])]
+            at += sizes[t]
+            counts[own[0] if rule == "first" else own[-1] if rule == "last" else max(dict.fromkeys(own), key=own.count)] += 1
+        assert [r.n_tokens for r in got[i]] == counts and [r.end - r.start for r in got[i]] == [len(x or "") for x in fields]
