@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ FIT_ROWS = 16_000
 #: Unlabelled training rows that the label model and the classifier see too.
 FREE_ROWS = 8_000
 #: Frequent terms among the classifier's inputs.
-COMMON = 600
+COMMON = 400
 #: Mined voters: at most so many on each side, each in so many sampled rows at least.
 MINED, LEAST_ROWS = 250, 5
 OPENINGS = (4, 5, 6, 7, 8)
@@ -162,37 +163,45 @@ def label_model(votes: np.ndarray, sides: np.ndarray, share: float, rounds: int
     their number of votes, start there. Expectation maximisation then estimates how
     often each voter fires in each class and the covariance of voters within classes.
     """
-    x = votes.astype(np.float32)
+    n, x = len(votes), votes
     # a voter that seldom fires tells more: votes start with the information that they carry
-    worth = sides * -np.log((x.sum(axis=0) + 1) / (len(x) + 2))
-    lean = x @ worth.astype(np.float32)
-    edge = np.quantile(lean, 1 - min(max(share, 1 / len(x)), 0.5))
+    worth = (sides * -np.log((x.sum(axis=0) + 1) / (n + 2))).astype(np.float32)
+    lean = np.concatenate([part @ worth for _, part in blocks(x)])
+    edge = np.quantile(lean, 1 - min(max(share, 1 / n), 0.5))
     post = np.where(lean > edge, 0.9, 0.1).astype(np.float32)
     for _ in range(rounds):
-        rate, cov = [], np.zeros((x.shape[1], x.shape[1]))
-        for p in (1 - post, post):
-            n = p.sum() + 1.0
-            rate.append((p @ x + 0.05) / (n + 0.1))  # accuracies
-            cov += (x * p[:, None]).T @ x - n * np.outer(rate[-1], rate[-1])  # correlations within a class
-        cov /= len(x) + 2.0
+        fired = [np.zeros(x.shape[1]), np.zeros(x.shape[1])]
+        both = np.zeros((x.shape[1], x.shape[1]))
+        for rows, part in blocks(x):
+            both += part.T @ part
+            for k, p in enumerate((1 - post[rows], post[rows])):
+                fired[k] += p @ part
+        mass = [(1 - post).sum() + 1.0, post.sum() + 1.0]
+        rate = [(f + 0.05) / (m + 0.1) for f, m in zip(fired, mass)]  # accuracies
+        cov = (both - sum(m * np.outer(r, r) for m, r in zip(mass, rate))) / (n + 2.0)  # correlations within a class
         spread = np.maximum(np.diag(cov), 1e-5)
-        direction = np.linalg.solve(cov + np.diag(0.1 * spread + 1e-3), rate[1] - rate[0])
-        logit = (x - (rate[0] + rate[1]) / 2) @ direction + np.log((post.sum() + 1) / ((1 - post).sum() + 1))
+        direction = np.linalg.solve(cov + np.diag(0.1 * spread + 1e-3), rate[1] - rate[0]).astype(np.float32)
+        middle = float((rate[0] + rate[1]) / 2 @ direction)
+        logit = np.concatenate([part @ direction for _, part in blocks(x)]) - middle + np.log(mass[1] / mass[0])
         post = np.clip(1 / (1 + np.exp(-np.clip(logit, -12, 12))), 0.01, 0.99).astype(np.float32)
     return post
 
 
 def fit_linear(inputs: np.ndarray, target: np.ndarray, decay: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Logistic weights (the last is the constant) on soft targets, by Newton steps."""
-    x = np.c_[inputs, np.ones(len(inputs))].astype(np.float32)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], decay)
+    size = inputs.shape[1] + 1
+    w, penalty = np.zeros(size), np.full(size, decay)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p) + 1e-6).astype(np.float32)[:, None]).T @ x
-        step = np.linalg.solve(curve + np.diag(penalty), x.T @ (p - target) + penalty * w)
+        curve, slope = np.zeros((size, size)), penalty * w
+        for rows, part in blocks(inputs):
+            x = np.c_[part, np.ones(len(part), np.float32)]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve += (x * (p * (1 - p) + 1e-6).astype(np.float32)[:, None]).T @ x
+            slope += x.T @ (p - target[rows])
+        step = np.linalg.solve(curve + np.diag(penalty), slope)
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -221,19 +230,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     got = rows.mapInArrow(read, "toxic int, fired array<int>, held array<int>").toArrow()  # at most fit_rows and free_rows
     gold = [t > 0 for t in got.column("toxic").to_pylist() if t is not None]
-    votes = indicators(got.column("fired").to_pylist(), len(sides))
+    votes = indicators(got.column("fired"), len(sides))
     used = np.flatnonzero(votes.any(axis=0))
     post = label_model(votes[:, used], sides[used], sum(gold) / len(gold))
-    return terms, fit_linear(indicators(got.column("held").to_pylist(), len(terms)), post)
+    return terms, fit_linear(indicators(got.column("held"), len(terms)), post)
 
 
-def indicators(lists: list[list[int]], size: int) -> np.ndarray:
-    out = np.zeros((len(lists), size), np.float32)
-    for i, places in enumerate(lists):
-        out[i, places] = 1
+def indicators(lists: pa.ChunkedArray, size: int) -> np.ndarray:
+    """A row of flags for each list of places."""
+    lists = lists.combine_chunks()
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), size), bool)
+    out[np.repeat(np.arange(len(lists)), length), lists.flatten().to_numpy(zero_copy_only=False)] = True
     return out
 
 
+def blocks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows of flags at a time as numbers, so that no copy of all is made."""
+    for at in range(0, len(x), 2048):
+        yield slice(at, at + 2048), x[at : at + 2048].astype(np.float32)
+
+
 def score(docs: DataFrame, terms: list[str], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of ``docs``, from its whole text."""
     kind = docs.schema[id_col].dataType.simpleString()

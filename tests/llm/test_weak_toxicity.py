@@ -58,7 +58,7 @@ def made_votes(seed=0):
     truth = rng.random(4000) < 0.3
     some = lambda p, q: np.where(truth, rng.random(4000) < p, rng.random(4000) < q)
     noisy = some(0.5, 0.4)
-    return truth, np.c_[some(0.8, 0.05), some(0.7, 0.1), some(0.6, 0.05), noisy, noisy, noisy, noisy].astype(np.float32)  # four copies of one weak voter
+    return truth, np.c_[some(0.8, 0.05), some(0.7, 0.1), some(0.6, 0.05), noisy, noisy, noisy, noisy].astype(bool)  # four copies of one weak voter
 
 
 def test_label_model_weighs_correlated_voters_once():
