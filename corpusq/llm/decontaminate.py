@@ -256,8 +256,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
     """(id, item, score, first_word, end_word, item_words) for every text and item whose alignment reaches the threshold.
 
     Null texts and items are empty and leak nothing; repeated rows of either side
-    give repeated results; no items or no rows give no results; other columns are
-    not read.
+    give repeated results; no items or no rows give no results; of passages that tie
+    in one text the first is told; very long texts are searched whole; items of one
+    word match where it stands; other columns are not read.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

@@ -19,8 +19,6 @@ SEED = "mix-1"
 ALPHA = 0.5
 #: Bytes wanted in all, as a multiple of the bytes there are.
 EPOCHS = 1.0
-#: Sources up to which their rates are broadcast (about 500 bytes each); beyond it a shuffle joins them.
-SOURCES = 20_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -62,8 +60,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     """Every column of ``docs``, each row as often as drawn, with ``mix_copy`` (0, 1, ...) and ``mix_key``; shuffled.
 
     Rows that share an id draw the same count; a null id draws as "null". Rows of
-    an empty table give none. A hot source costs nothing: sizes combine on the map
-    side and rates join as one row for each source.
+    an empty table give none. Null and very long texts come out as they are; input
+    columns called mix_copy or mix_key are replaced. A hot source costs nothing: sizes
+    combine on the map side and rates join as one row for each source.
     """
     own = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     rated = materialize(cumulative(rates(docs, weights, alpha, epochs, source, text)).select("mix_source", "cdf"), "rates")

@@ -340,7 +340,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
 
     Removed is every byte that a ``window``-byte string covers which also starts
     anywhere else in the table, judged on the texts as given. Null texts are empty;
-    rows repeated under one id are copies of each other; other columns are not read.
+    rows repeated under one id are copies of each other; very long texts are taken
+    whole; no copy is kept for being first, so nothing ties; an empty table gives an
+    empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts, occurrences, repeats = find_repeats(docs, window, gram, most, id_col, text_col)

@@ -118,3 +118,21 @@ def test_every_alignment_at_the_threshold_is_found(spark):
     got = {(r.doc_id, r.item_id): r.score for r in op.leaks(d, b).collect()}
     want = {(i, j): plain(item, t) / (2 * len(item)) for i, t in enumerate(texts) for j, item in enumerate(items)}
     assert (0, 0) in got and got == {k: x for k, x in want.items() if x >= 0.6}
+
+
+def test_whole_table_equals_brute_force(spark, sf_dir):
+    """All items against all texts under 6,000 characters; only what shares too few words to reach the threshold is not aligned."""
+    from collections import Counter
+
+    docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    texts = {r.doc_id: words(r.text) for r in docs.where("length(text) < 6000").collect()}
+    asked = {r.item_id: words(r.text) for r in items.collect()}
+    bags = {i: Counter(w) for i, w in texts.items()}
+    want = set()
+    for item, w in asked.items():
+        bag = Counter(w)
+        for i, own in bags.items():
+            if sum(min(n, own[x]) for x, n in bag.items() if x in own) >= 0.6 * len(w) and plain(w, texts[i]) >= 0.6 * 2 * len(w):
+                want.add((i, item))
+    got = {(r.doc_id, r.item_id) for r in op.leaks(docs, items).collect() if r.doc_id in texts}
+    assert want and got == want
