@@ -330,7 +330,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     kind = given.schema["key"].dataType.simpleString()
     prints = materialize(given.mapInArrow(run, f"key {kind}, h long, n long, {', '.join(f'{k} long' for k in keys)}"), "near-prints")
     nodes = materialize(prints.where("n > 0").groupBy("h").agg(*[F.max(c).alias(c) for c in ("n", *keys)]), "near-nodes")
-    groups = materialize(block_groups(nodes, keys, similarity, lambda pairs: _alike(pairs, prints, given, similarity, size)), "near-groups")
+    index = nodes.select("h", "n", F.explode(F.array_distinct(F.array(*keys))).alias("key")).where("key is not null")
+    groups = materialize(block_groups(index, similarity, lambda pairs: _alike(pairs, prints, given, similarity, size)), "near-groups")
     rooted = materialize(prints.join(broadcast_if_small(groups), "h", "left").select("key", F.coalesce("root", "h").alias("root")), "near-roots")
     least = rooted.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("m")).where("m > 1").select("root", "least")
     placed = materialize(rooted.join(broadcast_if_small(materialize(least, "near-least"), 64), "root"), "near-placed")
