@@ -88,6 +88,11 @@ def fingerprint_batch(column: pa.Array, size: int = SHINGLE, seed: int = SEED) -
         return out
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(text[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist())], dtype=">u8")
+    return majority(hashes, row, out)
+
+
+def majority(hashes: np.ndarray, row: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Puts into ``out`` (signed) for each row the bits that are set in over half of its big-endian hashes."""
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     rows, counts = row[first], np.diff(np.r_[first, len(row)])
     step = max(1, int(np.searchsorted(np.r_[first, len(row)], 1 << 19)))
@@ -304,10 +309,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """One row of ``docs`` for each group of near duplicates, that of the least id and then of the least text hash; all columns stay.
 
     Texts are linked if their sets of ``size``-word shingles have a Jaccard similarity
-    of ``similarity`` or more. A fingerprint within three bits reaches few of those, and
-    a radius that reaches them would need thousands of covering tables; so a text has
-    five SimHash fingerprints here, each of three shingles drawn by least hash, that meet
-    where they are equal (0.97 of the pairs at 0.8, more above), and sets are compared.
+    of ``similarity`` or more. Texts whose SimHash fingerprints differ in ``RADIUS`` bits
+    or fewer meet in the covering tables, so that none of those is missed. This reaches few of the
+    pairs at 0.8, and a radius that reaches them would need thousands of tables; so a text has
+    five more fingerprints, each of three shingles drawn by least hash, that meet
+    where they are equal (0.97 of the pairs at 0.8, more above). Then sets are compared.
 
     A null id stays only where all ids of its group are null. Null and empty texts are
     one group and so leave one row. Rows repeated under one id with one text are cut to
@@ -323,15 +329,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         for b in slices(batches, "text"):
             whole, of, grams = shingle_sets(b.column("text"), size)
             found, held = block_prints(b.num_rows, of, grams)
+            fp = majority(grams.astype(">u8"), of, np.zeros(b.num_rows, np.int64)) if len(of) else np.zeros(b.num_rows, np.int64)
             n = np.bincount(of, minlength=b.num_rows)
             columns = [pa.array(found[:, k].copy().view(np.int64), mask=~held[:, k]) for k in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), *columns], ["key", "h", "n", *keys])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp), *columns], ["key", "h", "n", "fp", *keys])
 
     kind = given.schema["key"].dataType.simpleString()
-    prints = materialize(given.mapInArrow(run, f"key {kind}, h long, n long, {', '.join(f'{k} long' for k in keys)}"), "near-prints")
-    nodes = materialize(prints.where("n > 0").groupBy("h").agg(*[F.max(c).alias(c) for c in ("n", *keys)]), "near-nodes")
-    index = nodes.select("h", "n", F.explode(F.array_distinct(F.array(*keys))).alias("key")).where("key is not null")
-    groups = materialize(block_groups(index, similarity, lambda pairs: _alike(pairs, prints, given, similarity, size)), "near-groups")
+    prints = materialize(given.mapInArrow(run, f"key {kind}, h long, n long, fp long, {', '.join(f'{k} long' for k in keys)}"), "near-prints")
+    nodes = materialize(prints.where("n > 0").groupBy("h").agg(*[F.max(c).alias(c) for c in ("n", "fp", *keys)]), "near-nodes")
+    tables = [F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key"), F.col("fp")) for i, m in enumerate(covering_masks())]
+    blocks = [F.struct(F.col(k).alias("key"), F.lit(None).cast("long").alias("fp")) for k in keys]
+    index = nodes.select("h", "n", F.explode(F.array_distinct(F.array(*tables, *blocks))).alias("e")).select("h", "n", "e.key", "e.fp").where("key is not null")
+    within = lambda a, b: a("fp").isNull() | b("fp").isNull() | (F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= RADIUS)
+    groups = materialize(block_groups(index, similarity, lambda pairs: _alike(pairs, prints, given, similarity, size), meet=within), "near-groups")
     rooted = materialize(prints.join(broadcast_if_small(groups), "h", "left").select("key", F.coalesce("root", "h").alias("root")), "near-roots")
     least = rooted.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("m")).where("m > 1").select("root", "least")
     placed = materialize(rooted.join(broadcast_if_small(materialize(least, "near-least"), 64), "root"), "near-placed")

@@ -132,6 +132,22 @@ def test_near_copies_by_five_words_and_similarity(spark):
     assert missed <= 0.1 * pairs, (missed, pairs)
 
 
+def test_covering_tables_bring_every_pair_within_the_radius(spark, monkeypatch):
+    """With no block fingerprints at all, keep_one still finds the like texts whose fingerprints differ in three bits or fewer."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-1] + ["other"]))]
+    _, of, grams = op.shingle_sets(pa.array([t for _, t in rows]))
+    fps = op.majority(grams.astype(">u8"), of, np.zeros(len(rows), np.int64)).view(np.uint64).tolist()
+    want = {i for i, _ in rows if i % 2 == 0 or bin(fps[i] ^ fps[i - 1]).count("1") > 3}
+    none = lambda n, of, grams: (np.zeros((n, 5), np.uint64), np.zeros((n, 5), bool))
+    monkeypatch.setattr(op, "block_prints", none)
+    assert {r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()} == want
+    assert len(want) < 90
+
+
 def test_keep_one_keeps_a_row_of_every_group(spark):
     texts = ["alpha beta gamma delta", "one two three four five", "red green blue black white", "north east south west"]
     rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[2]), (9, None), (9, "")]
