@@ -95,7 +95,7 @@ def majority(hashes: np.ndarray, row: np.ndarray, out: np.ndarray) -> np.ndarray
     """Puts into ``out`` (signed) for each row the bits that are set in over half of its big-endian hashes."""
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     rows, counts = row[first], np.diff(np.r_[first, len(row)])
-    step = max(1, int(np.searchsorted(np.r_[first, len(row)], 1 << 19)))
+    step = max(1, int(np.searchsorted(np.r_[first, len(row)], 1 << 16)))
     for at in range(0, len(first), step):  # bits are unpacked for some rows at a time
         lo, hi = first[at], np.r_[first, len(row)][min(at + step, len(first))]
         bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
