@@ -75,8 +75,40 @@ class Lattice:
         # all openings of pieces: the log weight of a piece, None for an opening that is none
         self.weight: dict[str, float | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
         self.weight.update(zip(pieces, logs))
-        # the same with the pieces' numbers, -1 for an opening that is none
-        self.number: dict[str, int] = {**dict.fromkeys(self.weight, -1), **self.ids}
+        # the same as a tree: 0 is no opening, 1 the empty one; the number of each one's piece, -1 for an opening that is none
+        place = {"": 1, **{x: i for i, x in enumerate(self.weight, 2)}}
+        self.number = np.array([-1, -1, *[self.ids.get(x, -1) for x in self.weight]])
+        # from opening and next character to opening: an open table, probed slot by slot
+        keys = np.array([place[x[:-1]] << 21 | ord(x[-1]) for x in self.weight], np.int64)
+        self.bits = (4 * len(keys)).bit_length()
+        self.keys, self.follow = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[rest[free]]
+            mine = self.keys[slot] == keys[rest]
+            self.follow[slot[mine]] = rest[mine] + 2
+            rest, slot = rest[~mine], slot[~mine] + 1 & len(self.keys) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, openings: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The openings that follow with these characters (code points), 0 where there is none."""
+        keys = openings << 21 | chars
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.follow[slot], 0).astype(np.int64)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        slot = slot[rest]
+        while len(rest):
+            slot = slot + 1 & len(self.keys) - 1
+            there = self.keys[slot]
+            mine = there == keys[rest]
+            out[rest[mine]] = self.follow[slot[mine]]
+            more = ~mine & (there >= 0)
+            rest, slot = rest[more], slot[more]
+        return out
 
     def spelt(self, char: str) -> tuple[float, tuple[int, ...]]:
         """A character that is no piece, in bytes."""
@@ -171,36 +203,31 @@ class Lattices:
     """The lattices of many short words: each arc's word, start, end and number, in order of end and in order of start."""
 
     def __init__(self, lattice: Lattice, words: list[str]):
-        get, base, arcs = lattice.number.get, len(lattice.logs), []
-        add = arcs.append
-        self.spelt: dict[str, int] = {}
-        for at, word in enumerate(words):
-            text = SPACE + word
-            n = len(text)
-            for i in range(n):
-                c = text[i]
-                k = get(c, -2)
-                place = (at << 6 | i) << 6
-                if k < 0:
-                    add((place | i + 1) << 32 | base + self.spelt.setdefault(c, len(self.spelt)))
-                    if k == -2:
-                        continue
-                else:
-                    add((place | i + 1) << 32 | k)
-                for j in range(i + 2, n + 1):
-                    k = get(text[i:j], -2)
-                    if k >= 0:
-                        add((place | j) << 32 | k)
-                    elif k == -2:
-                        break
-        packed = np.array(arcs, np.int64)
+        self.size = np.array([len(w) + 1 for w in words])
+        self.width = int(self.size.max()) + 1
+        chars = np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), self.size)
+        start = np.arange(len(chars)) - (np.cumsum(self.size) - self.size)[word]
+        left, places = self.size[word] - start, (word << 6 | start) << 6
+        at, opening, size, arcs = np.arange(len(chars)), np.ones(len(chars), np.int64), 0, []
+        while len(at):
+            opening = lattice.step(opening, chars[at + size])
+            size += 1
+            number = lattice.number[opening]
+            if size == 1:  # characters that are no piece are spelt
+                odd = np.flatnonzero(number < 0)
+                spelt, which = np.unique(chars[odd], return_inverse=True)
+                number[odd] = len(lattice.logs) + which
+            some = number >= 0
+            arcs.append((places[at[some]] | start[at[some]] + size) << 32 | number[some])
+            on = (opening > 0) & (left[at] > size)
+            at, opening = at[on], opening[on]
+        packed = np.sort(np.concatenate(arcs))
         self.number = packed & 0xFFFFFFFF
         self.end = packed >> 32 & 63
         self.start = packed >> 38 & 63
         self.word = packed >> 44
-        self.size = np.array([len(w) + 1 for w in words])
-        self.width = int(self.size.max()) + 1
-        paths = [lattice.spelt(c) for c in self.spelt]
+        paths = [lattice.spelt(chr(c)) for c in spelt.tolist()]
         self.paths = [path for _, path in paths]
         self.logs = np.r_[np.array(lattice.logs), [log for log, _ in paths]][self.number]
 
@@ -222,7 +249,7 @@ class Lattices:
     def forward(self) -> np.ndarray:
         """Log probabilities of all openings of the words; a word's own stands at its size."""
         alpha = np.zeros((len(self.size), self.width))
-        return self._sweep(alpha, self.end, self.start, np.argsort(self.end, kind="stable"), range(1, self.width))
+        return self._sweep(alpha, self.end, self.start, np.argsort(self.end.astype(np.uint8), kind="stable"), range(1, self.width))
 
     def totals(self, alpha: np.ndarray) -> np.ndarray:
         return alpha[np.arange(len(self.size)), self.size]
@@ -231,7 +258,7 @@ class Lattices:
         """Add the expected uses of each piece in so many times each word."""
         alpha = self.forward()
         beta = np.zeros_like(alpha)
-        self._sweep(beta, self.start, self.end, np.argsort(self.start, kind="stable"), range(self.width - 1, -1, -1))
+        self._sweep(beta, self.start, self.end, np.argsort(self.start.astype(np.uint8), kind="stable"), range(self.width - 1, -1, -1))
         row = self.word * self.width
         share = np.exp(alpha.reshape(-1)[row + self.start] + self.logs + beta.reshape(-1)[row + self.end] - self.totals(alpha)[self.word])
         uses = np.bincount(self.number, share * counts[self.word], minlength=len(into) + len(self.paths))
