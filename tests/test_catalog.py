@@ -43,3 +43,14 @@ def test_roundtrip_gives_the_same_ranking(spark, sf_dir):
         best[str(r.doc_id)] = max(best.get(str(r.doc_id), (0.0, "")), (round(r.bm25, 6), r.chunk_id))
     assert len(got) == 10 and [g[2] for g in got] == sorted((s for s, _ in best.values()), reverse=True)[:10]
     assert all(best[i][0] == s for i, _, s in got)
+
+
+def test_postings_by_row_are_those_counted_by_group_and_nothing_moves(spark, sf_dir):
+    from corpusq.operators.index import postings_by_row, postings_of
+
+    extra = spark.createDataFrame([("e", 1, 1, ""), ("n", 2, 2, None), ("k", 3, 3, "가나 가나다 S_{0} x x X")], "chunk_id string, doc_id long, ord long, text string")
+    chunks = catalog_queries.window_chunks(spark, sf_dir).select(*extra.columns).union(extra)
+    got = postings_by_row(chunks, "text")
+    want = postings_of(chunks, "text").select(*got.columns)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0 and {r.tf for r in got.where("chunk_id = 'k' and token = 'x'").collect()} == {3}
