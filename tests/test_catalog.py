@@ -54,3 +54,16 @@ def test_postings_by_row_are_those_counted_by_group_and_nothing_moves(spark, sf_
     want = postings_of(chunks, "text").select(*got.columns)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == want.count() and got.exceptAll(want).count() == 0 and {r.tf for r in got.where("chunk_id = 'k' and token = 'x'").collect()} == {3}
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_recall_moves_no_score_of_an_item_and_a_document(spark, sf_dir):
+    """Scores are as many as items times documents; each is summed where its document's tokens stand."""
+    import re
+
+    plan = _final_plan(catalog_queries.recall_at_k(spark, sf_dir))
+    assert "partial_sum" in plan and not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, doc_id[^\n]*\n[^\n]*HashAggregate[^\n]*partial_sum", plan)
