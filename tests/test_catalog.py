@@ -67,3 +67,8 @@ def test_recall_moves_no_score_of_an_item_and_a_document(spark, sf_dir):
 
     plan = _final_plan(catalog_queries.recall_at_k(spark, sf_dir))
     assert "partial_sum" in plan and not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, doc_id[^\n]*\n[^\n]*HashAggregate[^\n]*partial_sum", plan)
+
+
+def test_attachment_matches_read_the_texts_twice(spark, sf_dir):
+    """Once for the statistics and once for all scores."""
+    assert _final_plan(catalog_queries.attachment_top5_fold(spark, sf_dir)).count("FileScan parquet") == 2
